@@ -1,0 +1 @@
+"""Micro-batch use of the keyed merges (they are idempotent, so a retried batch is harmless)."""
