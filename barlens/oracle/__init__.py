@@ -1,0 +1 @@
+"""Independent SQL for checking the queries with another engine."""
