@@ -12,10 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from . import frames
+from pyspark.sql import DataFrame
 
 
 @dataclass(frozen=True)
@@ -28,68 +25,55 @@ class Series:
     warmup: int = 1
 
 
-def _power(decay: float, exponent: Column) -> Column:
-    return F.pow(F.lit(decay), exponent.cast("double"))
-
-
 def recurse(df: DataFrame, series: list[Series]) -> DataFrame:
     """Add ``y_t = decay * y_(t-1) + u_t`` per series; rows with a NULL u keep y.
 
-    ``df`` must have ``era``.  The helper columns are dropped again.
+    ``df`` must have ``era``.  The helper columns are dropped again.  Expressions are
+    written as SQL text: with many series that is one parse each instead of dozens of
+    calls into the JVM.
     """
-    inside = frames.running(frames.in_era())
-    history = frames.running(frames.era_sessions())
-    kept = df.columns
+    kept = [f"`{c}`" for c in df.columns]
     sources = list(dict.fromkeys(s.source for s in series))
-    df = df.withColumns(
-        {f"_len_{u}": F.count(u).over(inside) for u in sources}
-        | {f"_seen_{u}": F.count(u).over(history) for u in sources}
-        | {"_closing": ~F.lead("era").over(frames.era_sessions()).eqNullSafe(F.col("era"))}
-    )
-    df = df.withColumns(
-        {
-            f"_sum_{s.name}": F.sum(
-                F.col(s.source) * _power(s.decay, 1 - F.col(f"_len_{s.source}"))
-            ).over(inside)
-            for s in series
-        }
+    inside = "OVER (PARTITION BY ticker, era ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    history = "(PARTITION BY ticker ORDER BY era, date {})"
+    counted = df.selectExpr(
+        *kept,
+        *[f"count({u}) {inside} AS _len_{u}" for u in sources],
+        *[f"count({u}) OVER {history.format('ROWS UNBOUNDED PRECEDING')} AS _seen_{u}" for u in sources],
+        f"NOT (lead(era) OVER {history.format('')} <=> era) AS _closing",
     )
-    df = df.withColumns(
-        {
-            f"_end_{s.name}": F.coalesce(
-                F.col(f"_sum_{s.name}") * _power(s.decay, F.col(f"_len_{s.source}") - 1),
-                F.lit(0.0),
-            )
+    summed = counted.selectExpr(
+        "*",
+        *[
+            f"sum({s.source} * power({s.decay!r}D, CAST(1 - _len_{s.source} AS DOUBLE))) {inside} AS _sum_{s.name}"
             for s in series
-        }
-    )
-    closing = F.struct(*[f"_end_{s.name}" for s in series], *[f"_len_{u}" for u in sources])
-    df = df.withColumn(
-        "_eras",
-        F.collect_list(F.when(F.col("_closing"), closing)).over(
-            frames.earlier(frames.era_sessions())
-        ),
+        ],
     )
-    return df.select(
-        *kept,
+    ended = summed.selectExpr(
+        "*",
         *[
-            F.when(
-                F.col(f"_seen_{s.source}") >= s.warmup,
-                F.col(f"_end_{s.name}")
-                + _power(s.decay, F.col(f"_len_{s.source}")) * _carried(s),
-            ).alias(s.name)
+            f"coalesce(_sum_{s.name} * power({s.decay!r}D, CAST(_len_{s.source} - 1 AS DOUBLE)), 0D) AS _end_{s.name}"
             for s in series
         ],
     )
+    fields = [f"_end_{s.name}" for s in series] + [f"_len_{u}" for u in sources]
+    earlier = history.format("ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    closed = ended.selectExpr(
+        "*",
+        f"collect_list(CASE WHEN _closing THEN struct({', '.join(fields)}) END) OVER {earlier} AS _eras",
+    )
+    return closed.selectExpr(*kept, *[_value(s) for s in series])
 
 
-def _carried(s: Series) -> Column:
-    """y at the end of the previous era."""
-    return F.aggregate(
-        "_eras",
-        F.lit(0.0),
-        lambda y, e: y * _power(s.decay, e[f"_len_{s.source}"]) + e[f"_end_{s.name}"],
+def _value(s: Series) -> str:
+    """y of the row: this era's part plus what earlier eras carry over."""
+    carried = (
+        f"aggregate(_eras, 0D, (y, e) -> y * power({s.decay!r}D, CAST(e._len_{s.source} AS DOUBLE))"
+        f" + e._end_{s.name})"
     )
+    decayed = f"power({s.decay!r}D, CAST(_len_{s.source} AS DOUBLE))"
+    value = f"_end_{s.name} + {decayed} * {carried}"
+    return f"CASE WHEN _seen_{s.source} >= {s.warmup} THEN {value} END AS {s.name}"
 
 
 def ema_inputs(df: DataFrame, sources: dict[str, tuple[str, int]]) -> DataFrame:
@@ -97,16 +81,13 @@ def ema_inputs(df: DataFrame, sources: dict[str, tuple[str, int]]) -> DataFrame:
 
     The first known value seeds the average.  Values must be contiguous from there.
     """
-    w = frames.era_sessions()
-    seen = {x: f"_n_{x}" for x, _ in sources.values()}
-    kept = df.columns
-    df = df.withColumns({n: F.count(x).over(frames.running(w)) for x, n in seen.items()})
-    return df.select(
+    history = "OVER (PARTITION BY ticker ORDER BY era, date ROWS UNBOUNDED PRECEDING)"
+    values = list(dict.fromkeys(x for x, _ in sources.values()))
+    kept = [f"`{c}`" for c in df.columns]
+    return df.selectExpr("*", *[f"count({x}) {history} AS _n_{x}" for x in values]).selectExpr(
         *kept,
         *[
-            F.when(F.col(seen[x]) == 1, F.col(x))
-            .otherwise(F.col(x) * (2.0 / (span + 1)))
-            .alias(u)
+            f"CASE WHEN _n_{x} = 1 THEN {x} ELSE {x} * {2.0 / (span + 1)!r}D END AS {u}"
             for u, (x, span) in sources.items()
         ],
     )
@@ -122,28 +103,27 @@ def wilder_inputs(df: DataFrame, sources: dict[str, tuple[str, int]]) -> DataFra
     The seed is the mean of the first ``period`` consecutive known values; a
     missing value later on leaves the average unchanged.
     """
-    w = frames.era_sessions()
-    kept = df.columns
-    df = df.withColumns(
-        {
-            f"_mean_{u}": frames.full(F.avg, F.col(x), frames.upto(w, p), p)
+    kept = [f"`{c}`" for c in df.columns]
+
+    def window(n: int) -> str:
+        return f"OVER (PARTITION BY ticker ORDER BY era, date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+    means = df.selectExpr(
+        "*",
+        *[
+            f"CASE WHEN count({x}) {window(p)} = {p} THEN avg({x}) {window(p)} END AS _mean_{u}"
             for u, (x, p) in sources.items()
-        }
+        ],
     )
-    df = df.withColumns(
-        {
-            f"_seed_{u}": F.min(F.when(F.col(f"_mean_{u}").isNotNull(), F.col("date"))).over(
-                frames.running(w)
-            )
-            for u in sources
-        }
+    history = "OVER (PARTITION BY ticker ORDER BY era, date ROWS UNBOUNDED PRECEDING)"
+    seeds = means.selectExpr(
+        "*",
+        *[f"min(CASE WHEN _mean_{u} IS NOT NULL THEN date END) {history} AS _seed_{u}" for u in sources],
     )
-    return df.select(
+    return seeds.selectExpr(
         *kept,
         *[
-            F.when(F.col("date") == F.col(f"_seed_{u}"), F.col(f"_mean_{u}"))
-            .when(F.col("date") > F.col(f"_seed_{u}"), F.col(x) / p)
-            .alias(u)
+            f"CASE WHEN date = _seed_{u} THEN _mean_{u} WHEN date > _seed_{u} THEN {x} / {p} END AS {u}"
             for u, (x, p) in sources.items()
         ],
     )

@@ -51,18 +51,33 @@ def event_spacing(events: DataFrame) -> DataFrame:
     )
 
 
+def _price_and_volume(params: EventParams) -> tuple[dict[str, Column], Column, Column]:
+    flags = rule_flags(params)
+    price = some(F.lit(False), *[flags[r] for r in PRICE_RULES if r in flags])
+    volume = some(F.lit(False), *[flags[r] for r in VOLUME_RULES if r in flags])
+    return flags, price, volume
+
+
+def flag_sessions(stats: DataFrame, params: EventParams = EventParams()) -> DataFrame:
+    """Every session with is_event, is_price_event, is_volume_event and direction."""
+    flags, price, volume = _price_and_volume(params)
+    return stats.withColumns(
+        {
+            "is_event": some(*flags.values()),
+            "is_price_event": price,
+            "is_volume_event": volume,
+            "direction": direction(F.col("daily_return")),
+        }
+    )
+
+
 def detect_events(
     stats: DataFrame, params: EventParams = EventParams(), benchmark: str | None = None
 ) -> DataFrame:
     """Event rows in the fixed layout, plus ``session``; research fields are still unknown."""
-    flags = rule_flags(params)
-    price = some(F.lit(False), *[flags[r] for r in PRICE_RULES if r in flags])
-    volume = some(F.lit(False), *[flags[r] for r in VOLUME_RULES if r in flags])
-    absent = [
-        c
-        for c in (*OUTCOMES, "benchmark_return", "abnormal_return")
-        if c not in stats.columns
-    ]
+    flags, price, volume = _price_and_volume(params)
+    have = set(stats.columns)
+    absent = [c for c in (*OUTCOMES, "benchmark_return", "abnormal_return") if c not in have]
     df = stats.withColumns({c: F.lit(None).cast("double") for c in absent}) if absent else stats
     hits = event_spacing(df.where(some(*flags.values())))
     named = F.when(F.col("benchmark_return").isNotNull(), F.lit(benchmark))

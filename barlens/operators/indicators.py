@@ -60,10 +60,16 @@ def rolling_slope(column: str, window: int, position: str = "_pos") -> Column:
 
 
 def percentile_of_previous(column: str, window: int, least: int) -> Column:
-    """100 x share of the previous ``window`` known values that are <= today's."""
+    """100 x share of the previous ``window`` known values that are <= today's.
+
+    Values equal up to rounding noise (one part in 1e12) count as equal, so that the
+    result does not depend on the order in which a spread was summed.
+    """
     x = F.col(column)
     earlier = F.collect_list(x).over(before(era_sessions(), window))
-    not_above = F.size(F.filter(earlier, lambda v: v <= x))
+    # the limit is bound once per session, not computed per earlier value
+    limit = F.array(x + F.abs(x) * 1e-12)
+    not_above = F.transform(limit, lambda top: F.size(F.filter(earlier, lambda v: v <= top)))[0]
     known = x.isNotNull() & (F.size(earlier) >= least)
     return F.when(known, F.lit(100.0) * (not_above / F.size(earlier)))
 

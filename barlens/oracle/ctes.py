@@ -329,7 +329,7 @@ SELECT *, (close - bb_lower) / CASE WHEN bb_upper - bb_lower > 0 THEN bb_upper -
 def percentile(x: str, window: int, least: int) -> str:
     return (
         f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER {prev(window)} >= {least} THEN 100e0 * "
-        f"(len(list_filter(list({x}) OVER {prev(window)}, lambda v: v <= {x})) / "
+        f"(len(list_filter(list({x}) OVER {prev(window)}, lambda v: v <= {x} + abs({x}) * 1e-12)) / "
         f"CAST(count({x}) OVER {prev(window)} AS DOUBLE)) END"
     )
 
@@ -462,9 +462,9 @@ CTES["states_b"] = "SELECT *, " + ", ".join(
 CTES["states_s"] = (
     "SELECT *, CASE "
     + " ".join(f"WHEN is_{k} THEN {q(t)}" for k, t in STATES.items())
-    + f" ELSE {q(NO_STRUCTURE)} END AS structure, array_to_string(["
+    + f" ELSE {q(NO_STRUCTURE)} END AS structure, concat_ws('|', "
     + ", ".join(f"CASE WHEN is_{k} THEN {q(t)} END" for k, t in STATES.items())
-    + "], '|') AS states FROM states_b"
+    + ") AS states FROM states_b"
 )
 
 

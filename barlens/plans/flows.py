@@ -36,8 +36,9 @@ def events(
 
 
 def event_study(bars: DataFrame, benchmark: DataFrame | None, params: Params = Params()) -> DataFrame:
+    """Outcomes per ticker and event group with the baseline, in one pass."""
     stats = statistics(bars, benchmark, params)
-    return outcomes.event_outcomes(events(stats, params), stats)
+    return outcomes.session_outcomes(detection.flag_sessions(stats, params.events))
 
 
 def technical(

@@ -36,24 +36,25 @@ PERIOD_ENDS = [f"{y}-12-31" for y in range(1995, 2003)]
 def shown(df: DataFrame, digits: int = 8) -> DataFrame:
     """Comparable values only."""
 
-    def value(field: T.StructField):
-        c = F.col(f"`{field.name}`")
-        kind = field.dataType
+    def value(field: T.StructField) -> str:
+        name, kind = f"`{field.name}`", field.dataType
+        element = kind.elementType if isinstance(kind, T.ArrayType) else None
+        text = name
         if isinstance(kind, T.DoubleType):
-            return F.round(c, digits) + F.lit(0.0)
-        if isinstance(kind, T.DateType):
-            return F.date_format(c, "yyyy-MM-dd")
-        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-            return F.concat_ws("|", c)
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.DateType):
-            return F.concat_ws("|", F.transform(c, lambda d: F.date_format(d, "yyyy-MM-dd")))
-        if isinstance(kind, (T.IntegerType, T.ShortType)):
-            return c.cast("long")
-        return c
-
-    return df.select(*[value(f).alias(f.name) for f in df.schema])
+            text = f"round({name}, {digits}) + 0D"
+        elif isinstance(kind, T.DateType):
+            text = f"date_format({name}, 'yyyy-MM-dd')"
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            text = f"date_format({name}, 'yyyy-MM-dd HH:mm:ss')"
+        elif isinstance(element, T.StringType):
+            text = f"concat_ws('|', {name})"
+        elif isinstance(element, T.DateType):
+            text = f"concat_ws('|', transform({name}, d -> date_format(d, 'yyyy-MM-dd')))"
+        elif isinstance(kind, (T.IntegerType, T.ShortType)):
+            text = f"CAST({name} AS BIGINT)"
+        return f"{text} AS {name}"
+
+    return df.selectExpr(*[value(f) for f in df.schema])
 
 
 class Inputs:
@@ -65,7 +66,12 @@ class Inputs:
 
     @cached_property
     def all_bars(self) -> DataFrame:
-        return derived.bars(self.spark, self.sf_dir)
+        """The price store: one row per ticker and day.
+
+        Tickers and benchmark both come from it, so it is kept (lineage stays, a lost
+        block is recomputed) instead of scanning the line items once per use.
+        """
+        return derived.bars(self.spark, self.sf_dir).persist()
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -738,7 +744,7 @@ def describe_outcomes(x: Inputs) -> DataFrame:
 
 @query()
 def event_outcomes(x: Inputs) -> DataFrame:
-    return outcomes.event_outcomes(x.found, x.stats)
+    return flows.event_study(x.bars, x.benchmark, x.params)
 
 
 @query()

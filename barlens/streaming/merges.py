@@ -1,0 +1,33 @@
+"""Keyed merges fed by micro-batches.
+
+The merges replace a stored snapshot by a new one and are idempotent, so a batch that
+is delivered again after a failure changes nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..sources.store import SnapshotStore
+
+
+def merge_stream(
+    batches: DataFrame,
+    store: SnapshotStore,
+    merge: Callable[[DataFrame, DataFrame], DataFrame],
+    checkpoint: str,
+) -> StreamingQuery:
+    """Merge every micro-batch of a streaming frame into the store."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        store.replace(merge(store.read(), batch))
+
+    return (
+        batches.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
