@@ -16,13 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 CELLS = 1024
 
 
 def exact_medians(df: DataFrame, keys: list[str], columns: list[str], rounds: int = 2) -> DataFrame:
     """One row per key with the median of each column, named like the column."""
     metric = [*keys, "_metric"]
-    values = (
+    # four passes read the counted values: compute them once
+    values = checkpointed(
         df.select(*keys, *columns)
         .unpivot(keys, columns, "_metric", "_value")
         .where(F.col("_value").isNotNull())

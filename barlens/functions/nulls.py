@@ -34,11 +34,18 @@ def yes(condition: Column) -> Column:
 
 
 def every(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, (yes(c) for c in conditions))
+    """True where all are true.  One unknown makes the conjunction unknown or false."""
+    return yes(reduce(lambda a, b: a & b, conditions))
+
+
+def all_of(*conditions: Column) -> Column:
+    """Plain conjunction, for rules where an unknown outcome does not match anyway."""
+    return reduce(lambda a, b: a & b, conditions)
 
 
 def some(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, (yes(c) for c in conditions))
+    """True where any is true, whatever the unknown ones would be."""
+    return yes(reduce(lambda a, b: a | b, conditions))
 
 
 def missing(*names: str) -> Column:
@@ -46,10 +53,13 @@ def missing(*names: str) -> Column:
 
 
 def first_match(rules, default, unknown: Column | None = None) -> Column:
-    """Label of the first true rule; ``unknown`` rows become "n/a"."""
+    """Label of the first true rule; ``unknown`` rows become "n/a".
+
+    An unknown condition does not match, so rules need no null handling of their own.
+    """
     chain = F.when(unknown, "n/a") if unknown is not None else None
     for condition, label in rules:
-        chain = F.when(yes(condition), label) if chain is None else chain.when(yes(condition), label)
+        chain = F.when(condition, label) if chain is None else chain.when(condition, label)
     return chain.otherwise(default)
 
 

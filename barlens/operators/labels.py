@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import before, era_sessions, full, upto
-from ..functions.nulls import at_least, every, first_match, missing, points, yes
+from ..functions.nulls import all_of, at_least, every, first_match, missing, points, yes
 from ..vocab import (
     ADX,
     BAND,
@@ -66,12 +66,12 @@ def label_trend() -> Column:
     c, e9, e21 = F.col("close"), F.col("ema9"), F.col("ema21")
     s9, s21 = F.col("ema9_slope"), F.col("ema21_slope")
     rules = [
-        (every(c > e9, e9 > e21, s9 > 0, s21 > 0), TREND.strong_up),
-        (every(c < e9, e9 < e21, s9 < 0, s21 < 0), TREND.strong_down),
-        (every(e9 > e21, c > e21, s21 > 0), TREND.up),
-        (every(e9 < e21, c < e21, s21 < 0), TREND.down),
-        (every(c > e9, s9 > 0), TREND.improving),
-        (every(c < e9, s9 < 0), TREND.deteriorating),
+        (all_of(c > e9, e9 > e21, s9 > 0, s21 > 0), TREND.strong_up),
+        (all_of(c < e9, e9 < e21, s9 < 0, s21 < 0), TREND.strong_down),
+        (all_of(e9 > e21, c > e21, s21 > 0), TREND.up),
+        (all_of(e9 < e21, c < e21, s21 < 0), TREND.down),
+        (all_of(c > e9, s9 > 0), TREND.improving),
+        (all_of(c < e9, s9 < 0), TREND.deteriorating),
     ]
     return first_match(
         rules, TREND.mixed, missing("close", "ema9", "ema21", "ema9_slope", "ema21_slope")
@@ -80,7 +80,7 @@ def label_trend() -> Column:
 
 def label_ema50() -> Column:
     c, e, s = F.col("close"), F.col("ema50"), F.col("ema50_slope")
-    rules = [(every(c > e, s > 0), EMA50.up), (every(c < e, s < 0), EMA50.down)]
+    rules = [(all_of(c > e, s > 0), EMA50.up), (all_of(c < e, s < 0), EMA50.down)]
     return first_match(rules, EMA50.mixed, missing("close", "ema50", "ema50_slope"))
 
 
@@ -106,8 +106,8 @@ def _hist_change(sessions: int) -> Column:
 def label_macd() -> Column:
     h, d1, d3 = F.col("macd_hist"), _hist_change(1), _hist_change(3)
     rules = [
-        (every(d1 > 0, d3 > 0), MACD.improving),
-        (every(d1 < 0, d3 < 0), MACD.weakening),
+        (all_of(d1 > 0, d3 > 0), MACD.improving),
+        (all_of(d1 < 0, d3 < 0), MACD.weakening),
         (h >= 0, MACD.positive),
     ]
     return first_match(rules, MACD.negative, h.isNull() | d3.isNull())
@@ -121,15 +121,15 @@ def macd_details() -> dict[str, Column]:
         "macd_cross": recent_cross(dif - F.col("macd_signal")),
         "macd_hist_trend": first_match(
             [
-                (every(same, F.abs(h) > F.abs(earlier)), "expanding"),
-                (every(same, F.abs(h) < F.abs(earlier)), "contracting"),
+                (all_of(same, F.abs(h) > F.abs(earlier)), "expanding"),
+                (all_of(same, F.abs(h) < F.abs(earlier)), "contracting"),
             ],
             "",
         ),
         "macd_zero_context": first_match(
             [
-                (every(dif < 0, h - earlier > 0), "below zero but improving"),
-                (every(dif > 0, h - earlier < 0), "above zero but deteriorating"),
+                (all_of(dif < 0, h - earlier > 0), "below zero but improving"),
+                (all_of(dif > 0, h - earlier < 0), "above zero but deteriorating"),
             ],
             "",
         ),
@@ -141,10 +141,10 @@ def label_momentum() -> Column:
     rising = reduce(lambda a, b: a + b, [yes(F.col(r) > 0).cast("int") for r in returns])
     m5 = F.col("move_5d_atr")
     rules = [
-        (every(rising == 4, m5 >= 1.5), MOMENTUM.strong_positive),
-        (every(rising == 0, m5 <= -1.5), MOMENTUM.strong_negative),
-        (every(rising >= 3, m5 > 0), MOMENTUM.positive),
-        (every(rising <= 1, m5 < 0), MOMENTUM.negative),
+        (all_of(rising == 4, m5 >= 1.5), MOMENTUM.strong_positive),
+        (all_of(rising == 0, m5 <= -1.5), MOMENTUM.strong_negative),
+        (all_of(rising >= 3, m5 > 0), MOMENTUM.positive),
+        (all_of(rising <= 1, m5 < 0), MOMENTUM.negative),
     ]
     return first_match(rules, MOMENTUM.mixed, missing(*returns, "move_5d_atr"))
 
@@ -181,7 +181,7 @@ def label_band_state() -> Column:
     change, rank = F.col("bb_width_change"), F.col("bb_width_percentile")
     squeezed = F.min(rank).over(upto(era_sessions(), 10)) <= 20
     rules = [
-        (every(change >= 0.2, squeezed), WIDTH.after_squeeze),
+        (all_of(change >= 0.2, squeezed), WIDTH.after_squeeze),
         (change >= 0.2, WIDTH.expansion),
         (rank <= 20, WIDTH.squeeze),
         (change <= -0.15, WIDTH.contraction),
@@ -197,11 +197,11 @@ def label_band_context() -> Column:
         return full(F.sum, yes(near_band).cast("int"), upto(era_sessions(), 5), 5)
 
     rules = [
-        (every(b >= 0.9, days(b >= 0.9) >= 3, c > e9, e9 > e21, s21 > 0), CONTEXT.upper_walk),
-        (every(b <= 0.1, days(b <= 0.1) >= 3, c < e9, e9 < e21, s21 < 0), CONTEXT.lower_walk),
-        (every(b > 1, e9 > e21, s21 > 0, busy), CONTEXT.upper_push),
+        (all_of(b >= 0.9, days(b >= 0.9) >= 3, c > e9, e9 > e21, s21 > 0), CONTEXT.upper_walk),
+        (all_of(b <= 0.1, days(b <= 0.1) >= 3, c < e9, e9 < e21, s21 < 0), CONTEXT.lower_walk),
+        (all_of(b > 1, e9 > e21, s21 > 0, busy), CONTEXT.upper_push),
         (b > 1, CONTEXT.upper_extension),
-        (every(b < 0, e9 < e21, s21 < 0, busy), CONTEXT.lower_push),
+        (all_of(b < 0, e9 < e21, s21 < 0, busy), CONTEXT.lower_push),
         (b < 0, CONTEXT.lower_extension),
     ]
     return first_match(rules, CONTEXT.none, b.isNull())
@@ -271,8 +271,8 @@ def swing_condition(df: DataFrame) -> DataFrame:
         "volume": size * F.coalesce(F.signum("ta_return_1d"), F.lit(0.0)),
         "rsi": first_match(
             [
-                (every(r6 >= 60, r6 >= r14), F.lit(1.0)),
-                (every(r6 < 40, r6 <= r14), F.lit(-1.0)),
+                (all_of(r6 >= 60, r6 >= r14), F.lit(1.0)),
+                (all_of(r6 < 40, r6 <= r14), F.lit(-1.0)),
             ],
             F.lit(0.0),
         ),
@@ -289,8 +289,8 @@ def swing_condition(df: DataFrame) -> DataFrame:
     up = F.col("trend").isin(TREND.strong_up, TREND.up)
     down = F.col("trend").isin(TREND.strong_down, TREND.down)
     rules = [
-        (every(score >= 6, up), CONDITION.strong),
-        (every(score <= -6, down), CONDITION.weak),
+        (all_of(score >= 6, up), CONDITION.strong),
+        (all_of(score <= -6, down), CONDITION.weak),
         (score >= 2, CONDITION.improving),
         (score <= -2, CONDITION.weakening),
     ]
