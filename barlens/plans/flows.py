@@ -41,19 +41,20 @@ def event_study(bars: DataFrame, benchmark: DataFrame | None, params: Params = P
     return outcomes.session_outcomes(detection.flag_sessions(stats, params.events))
 
 
-def technical(
+def indicator_frame(
     bars: DataFrame,
     benchmark: DataFrame | None,
     params: Params = Params(),
     with_outcomes: bool = False,
 ) -> DataFrame:
-    """Indicators, labels, structure and swing condition of every session.
+    """Indicators of every session on adjusted bars.
 
     Outcome columns ride along in the same rows instead of being joined back.
     """
     if with_outcomes:
         priced = statistics(bars, benchmark, params)
-        carried = [c for c in OUTCOMES if c in priced.columns]
+        have = set(priced.columns)
+        carried = [c for c in OUTCOMES if c in have]
     else:
         priced = cleaning.choose_price_column(bars)
         if benchmark is not None:
@@ -61,8 +62,17 @@ def technical(
         carried = []
     columns = ["ticker", "date", "open", "high", "low", "close", "adj_close", "volume", "price_column"]
     columns += ["benchmark_price"] if benchmark is not None else []
-    adjusted = indicators.adjust_ohlcv(priced.select(*columns, *carried))
-    frame = labels.classify_all(indicators.compute_indicators(adjusted))
+    return indicators.compute_indicators(indicators.adjust_ohlcv(priced.select(*columns, *carried)))
+
+
+def technical(
+    bars: DataFrame,
+    benchmark: DataFrame | None,
+    params: Params = Params(),
+    with_outcomes: bool = False,
+) -> DataFrame:
+    """Indicators, labels, structure and swing condition of every session."""
+    frame = labels.classify_all(indicator_frame(bars, benchmark, params, with_outcomes))
     return labels.swing_condition(structure.structure_states(frame))
 
 

@@ -139,6 +139,14 @@ class Inputs:
             }
         )
 
+    @cached_property
+    def indicators(self) -> DataFrame:
+        return flows.indicator_frame(self.bars, self.benchmark, self.params)
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        return labels.classify_all(self.indicators)
+
     @cached_property
     def technical(self) -> DataFrame:
         return flows.technical(self.bars, self.benchmark, self.params)
@@ -528,7 +536,7 @@ def align_benchmark(x: Inputs) -> DataFrame:
 
 @query(digits=7)
 def align_benchmark_indicators(x: Inputs) -> DataFrame:
-    return x.technical.select("ticker", "date", "benchmark_price", "rel_5d")
+    return x.indicators.select("ticker", "date", "benchmark_price", "rel_5d")
 
 
 @query(digits=7)
@@ -838,7 +846,7 @@ def percentile_of_previous(x: Inputs) -> DataFrame:
 
 
 register_columns(
-    lambda x: x.technical,
+    lambda x: x.indicators,
     6,
     ema_slope=("ema9_slope", "ema21_slope", "ema50_slope"),
     rsi=("rsi6", "rsi14"),
@@ -866,7 +874,7 @@ register_columns(
 # ---- labels ---------------------------------------------------------------------------------
 
 register_columns(
-    lambda x: x.technical,
+    lambda x: x.labelled,
     6,
     label_trend=("trend",),
     label_ema50=("ema50_state",),
@@ -885,11 +893,15 @@ register_columns(
     relative_strength_score=("relative_strength_score",),
     label_relative_strength=("relative_strength",),
     label_adx=("adx_state",),
-    swing_condition=(*[f"points_{c}" for c in labels.COMPONENTS], "swing_score", "swing_condition"),
     classify_all=(
         "trend", "rsi_zone", "macd_state", "momentum", "volume_level", "bb_position", "band_state",
         "band_context", "volatility", "relative_strength", "adx_state",
     ),
+)
+register_columns(
+    lambda x: x.technical,
+    6,
+    swing_condition=(*[f"points_{c}" for c in labels.COMPONENTS], "swing_score", "swing_condition"),
     structure_states=(*[f"is_{k}" for k in STATES], "structure"),
     active_states=("states",),
 )
@@ -898,7 +910,7 @@ register_columns(
 def _gap_query(name: str, build):
     def run(x: Inputs) -> DataFrame:
         gap = F.col("ema9") - F.col("ema21")
-        return x.technical.select("ticker", "date", *build(gap))
+        return x.indicators.select("ticker", "date", *build(gap))
 
     REGISTRY[name] = (run, 6)
 
@@ -1010,7 +1022,7 @@ def reference_levels(x: Inputs) -> DataFrame:
 
 @query(digits=6)
 def chart_window(x: Inputs) -> DataFrame:
-    return swing.chart_window(x.technical)
+    return swing.chart_window(x.indicators)
 
 
 @query(digits=6)
