@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import mixing
+from barlens.llm import chat, mixing, neighbours, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and tokens of every document."""
+    return tokens.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that no other one continues, as chat markup."""
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_mixing,)}
+    return {f.__name__: f for f in (op4_token_counts, op5_neighbours, op6_chat, op7_mixing)}
 
 
 def all_sql() -> dict[str, str]:
