@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barlens.llm import chat, mixing, neighbours, tokens
+from barlens.llm import chat, mixing, neighbours, simhash, substrings, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of repeated windows, as counts and a digest."""
+    cut = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and tokens of every document."""
     return tokens.token_counts(_table(spark, sf_dir, "documents"))
@@ -33,8 +40,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.groups(_table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_neighbours, op6_chat, op7_mixing)}
+    return {f.__name__: f for f in (op3_substrings, op4_token_counts, op5_neighbours, op6_chat, op7_mixing, op8_simhash)}
 
 
 def all_sql() -> dict[str, str]:
