@@ -173,7 +173,11 @@ def mix(
 
 
 def apply_mix(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with ``size, source_size, target, copies, taken``: each row with the copies the mix takes of it."""
+    """``docs`` with ``size, source_size, target, copies, taken``: each row with the copies the mix takes of it.
+
+    Columns of these names are replaced.
+    """
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     decided = mix(docs, **settings)
     per = decided.groupBy("source", "doc_id", "size").agg(
         F.map_from_entries(F.collect_list(F.struct("nth", F.struct("source_size", "target", "copies", "taken")))).alias("mixed")
@@ -182,4 +186,4 @@ def apply_mix(docs: DataFrame, **settings) -> DataFrame:
     numbered = docs.withColumn("size", word_count(F.col("text"))).withColumn("_nth", F.row_number().over(same))
     on = [numbered[c].eqNullSafe(per[c]) for c in ("source", "doc_id", "size")]
     joined = numbered.join(per, on).withColumn("_mixed", F.element_at("mixed", F.col("_nth")))
-    return joined.select(*[numbered[c] for c in docs.columns], numbered["size"], "_mixed.source_size", "_mixed.target", "_mixed.copies", "_mixed.taken")
+    return joined.select(*[numbered[c] for c in kept], numbered["size"], "_mixed.source_size", "_mixed.target", "_mixed.copies", "_mixed.taken")
