@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm import chat, html, lines, mixing, neighbours, simhash, substrings, tokens, toxicity
+from barlens.llm import chat, decontamination, html, lines, mixing, neighbours, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontamination.matches(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line of the corpus."""
     return lines.removed_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -63,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lines, op3_substrings, op4_token_counts, op5_neighbours, op6_chat, op7_mixing, op8_simhash, op9_html, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_lines, op3_substrings, op4_token_counts, op5_neighbours, op6_chat, op7_mixing, op8_simhash, op9_html, op10_toxicity)}
 
 
 def all_sql() -> dict[str, str]:
