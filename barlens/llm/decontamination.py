@@ -211,8 +211,8 @@ def fit(docs: DataFrame, items: list[Item]) -> Model | None:
         return None
     text = docs.select("text")
     tasks = docs.rdd.getNumPartitions()
-    told = _tree(text.mapInArrow(_frequencies(vocab), "value binary"), _adding(np.int64), tasks).head()
-    seen = np.frombuffer(told[0], np.int64) if told else np.zeros(len(vocab) + 1, np.int64)
+    told = _tree(text.mapInArrow(_frequencies(vocab), "value binary"), _adding(np.int64), tasks).collect()
+    seen = np.frombuffer(told[0][0], np.int64) if told else np.zeros(len(vocab) + 1, np.int64)
     kept = set()
     for x in items:
         own = sorted(set(x.words), key=lambda w: (seen[vocab[w]], w))
@@ -235,10 +235,10 @@ def fit(docs: DataFrame, items: list[Item]) -> Model | None:
     for _ in range(2):
         shared = context.broadcast(thin.astype(np.float32))
         found = rows.coalesce(max(8, tasks // 16)).mapInArrow(_gram_times(thin.shape, lambda s=shared: s.value), "value binary")
-        total = _tree(found, _adding(np.float32), max(8, tasks // 16)).head()
+        total = _tree(found, _adding(np.float32), max(8, tasks // 16)).collect()
         image = heavy * asked.T @ (asked @ thin)
         if total:
-            image += np.frombuffer(total[0], np.float32).reshape(thin.shape)
+            image += np.frombuffer(total[0][0], np.float32).reshape(thin.shape)
         inner = thin.T @ image
         thin_before, thin = thin, np.linalg.qr(image)[0]
     _, turn = np.linalg.eigh((inner + inner.T) / 2)

@@ -116,7 +116,7 @@ def mix(
     )
     most = plan.agg(F.max("documents")).head()[0]
     if not most:
-        return row.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"))
+        return row.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"), "nth")
 
     blocks_of = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(fan))).cast("long")
     key = ("source", "source_no", "documents", "block")

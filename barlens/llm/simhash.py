@@ -8,7 +8,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.llm.common import components, pieces, small, stored, utf8
@@ -153,10 +153,37 @@ def groups(docs: DataFrame, limit: int = TREE) -> DataFrame:
     texts are one fingerprint and are never paired.  An empty table gives no row; other columns are
     ignored.
     """
+    marked, named = _named(docs, limit)
+    return marked.join(named, "code").select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(docs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, code)`` of every row, and ``(code, component_id)``."""
     marked = stored(fingerprints(docs))
     codes = stored(marked.groupBy("code").agg(F.min("doc_id").alias("least")))
     roots = components(links(codes.select("code"), limit))
     placed = codes.join(roots, codes["code"] == roots["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("code", "component_id")
-    return marked.join(named, "code").select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+    return marked, placed.join(least, "root").select("code", "root", "component_id")
+
+
+def representatives(docs: DataFrame, limit: int = TREE) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: of each component the row with the smallest doc_id.
+
+    Null ids come last, and of rows that share the id one stays.  Columns are those of ``docs``.
+    """
+    marked, named = _named(docs, limit)
+    first = marked.join(named, "code").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "code")).alias("first"))
+    kept = first.select(F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("_id"), F.col("first.none").alias("_none"), F.col("first.code").alias("_code"))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            codes = [_signed(fingerprint(x)) for x in utf8(batch, "text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int64())], [*names, "_code"])
+
+    coded = docs.mapInArrow(run, docs.withColumn("_code", F.lit(0).cast("long")).schema)
+    coded = coded.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn("_none", F.col("doc_id").isNull())
+    nth = F.row_number().over(Window.partitionBy("_id", "_none", "_code").orderBy(F.xxhash64("text")))
+    rows = coded.join(kept, ["_id", "_none", "_code"], "left_semi")
+    return rows.withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in names])
