@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, written to the session's checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as named in ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; a local one is used only
-    where the session names none, as in tests.  Lost executors do not lose the rows.
+    A local master may do without, as in tests; a cluster without one is an error, since
+    executors would write to disks of their own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder and read from there: lost executors do not lose the rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

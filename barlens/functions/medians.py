@@ -2,9 +2,11 @@
 
 ``median()`` keeps a group's distinct values in one task.  That is fine per ticker
 (bounded by the calendar) but not for groups pooled over all tickers.  Here equal
-values are counted first (map-side combined), the value range is cut into cells, and
-only the cell that holds the middle rank survives to the next, finer cut.  A row is
-ranked only against the few values of its last cell.
+values are counted first (map-side combined), the distinct values are cut into cells
+of about equal number by approximate quantiles, copies are counted per cell, and only
+the cell that holds the middle rank survives to the next, finer cut.  Cells follow
+ranks, not widths, so outliers do not coarsen them: after two rounds a row is ranked
+against about one in ten thousand of its group's distinct values.
 
 The keys must be a FIXED set of groups (here nine labels): the table of targets has at
 most two rows per key and column, a proven bound, and is broadcast, so that a group
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .lineage import checkpointed
 
-CELLS = 1024
+CELLS = 128
+ACCURACY = 4000
 
 
 def exact_medians(df: DataFrame, keys: list[str], columns: list[str], rounds: int = 2) -> DataFrame:
@@ -46,15 +49,16 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str], rounds: in
         ).alias("_rank"),
     )
     key = [*metric, "_rank"]
+    shares = [k / CELLS for k in range(1, CELLS)]
     for _ in range(rounds):
-        width = (F.col("_hi") - F.col("_lo")) / CELLS
-        cell = F.least(
-            F.lit(CELLS - 1), F.floor(F.try_divide(F.col("_value") - F.col("_lo"), width))
-        )
+        inside = values.join(F.broadcast(targets), metric).where(F.col("_value").between(F.col("_lo"), F.col("_hi")))
+        cuts = inside.groupBy(*key).agg(F.percentile_approx("_value", shares, ACCURACY).alias("_cuts"))
+        bounded = targets.join(cuts, key)
+        cell = F.size(F.filter("_cuts", lambda c: c < F.col("_value")))
         counted = (
-            values.join(F.broadcast(targets), metric)
+            values.join(F.broadcast(bounded), metric)
             .where(F.col("_value").between(F.col("_lo"), F.col("_hi")))
-            .withColumn("_cell", F.coalesce(cell, F.lit(0)))
+            .withColumn("_cell", cell)
             .groupBy(*key, "_skipped", "_cell")
             .agg(
                 F.sum("_copies").alias("_in_cell"),

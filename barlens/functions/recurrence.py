@@ -2,18 +2,25 @@
 
 A recursion  y_t = d * y_(t-1) + u_t  has the closed form  y_t = sum d^(t-j) u_j.
 Inside one era (at most 1,461 days) the sum is ONE running window sum of
-``u * d^-i`` scaled back by ``d^i``; with the fastest decay used here (0.8) the
-factor stays below 1e142, far from overflow.  What earlier eras contribute is
-folded from one (end value, length) pair per era.  All series of a call share the
-sort (ticker, era, date) with every other window of the technical layer.
+``u * d^-i`` scaled back by ``d^i``; with a decay of ``FAST`` or more the factor
+stays below 1e290.  What earlier eras contribute is folded from one (end value,
+length) pair per era.  All such series of a call share the sort (ticker, era, date)
+with every other window of the technical layer.
+
+A faster decay would overflow, but there the last few dozen known values are all
+that a double can tell: those are folded directly, at the price of a sort.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, log
 
 from pyspark.sql import DataFrame
 
+#: Decays below this are folded over their last values: 0.64 ** -1461 is 1e283.
+FAST = 0.64
+
 
 @dataclass(frozen=True)
 class Series:
@@ -33,6 +40,16 @@ def recurse(df: DataFrame, series: list[Series]) -> DataFrame:
     calls into the JVM.
     """
     kept = [f"`{c}`" for c in df.columns]
+    fast = [s for s in series if s.decay < FAST]
+    if fast:
+        known = df.selectExpr(
+            "*", *[f"count({u}) OVER (PARTITION BY ticker ORDER BY era, date ROWS UNBOUNDED PRECEDING) AS _known_{u}" for u in {s.source: 0 for s in fast}]
+        )
+        df = known.selectExpr(*kept, *[_recent(s) for s in fast])
+        kept += [f"`{s.name}`" for s in fast]
+        series = [s for s in series if s.decay >= FAST]
+        if not series:
+            return df
     sources = list(dict.fromkeys(s.source for s in series))
     inside = "OVER (PARTITION BY ticker, era ORDER BY date ROWS UNBOUNDED PRECEDING)"
     history = "(PARTITION BY ticker ORDER BY era, date {})"
@@ -65,6 +82,17 @@ def recurse(df: DataFrame, series: list[Series]) -> DataFrame:
     return closed.selectExpr(*kept, *[_value(s) for s in series])
 
 
+def _recent(s: Series) -> str:
+    """y of a fast decay: the last known values, beyond which a weight is below 1e-18."""
+    reach = max(1, ceil(18 * log(10) / -log(s.decay))) if s.decay > 0 else 1
+    values = (
+        f"collect_list({s.source}) OVER (PARTITION BY ticker ORDER BY _known_{s.source}"
+        f" RANGE BETWEEN {reach - 1} PRECEDING AND CURRENT ROW)"
+    )
+    folded = f"aggregate({values}, 0D, (y, u) -> y * {s.decay!r}D + u)"
+    return f"CASE WHEN _known_{s.source} >= {s.warmup} THEN {folded} END AS {s.name}"
+
+
 def _value(s: Series) -> str:
     """y of the row: this era's part plus what earlier eras carry over."""
     carried = (
@@ -79,7 +107,8 @@ def _value(s: Series) -> str:
 def ema_inputs(df: DataFrame, sources: dict[str, tuple[str, int]]) -> DataFrame:
     """Add the u of exponential averages: ``{u column: (value column, span)}``.
 
-    The first known value seeds the average.  Values must be contiguous from there.
+    The first known value seeds the average.  Values must be contiguous from there: a
+    missing one later on is an error when the rows are computed.
     """
     history = "OVER (PARTITION BY ticker ORDER BY era, date ROWS UNBOUNDED PRECEDING)"
     values = list(dict.fromkeys(x for x, _ in sources.values()))
@@ -87,7 +116,8 @@ def ema_inputs(df: DataFrame, sources: dict[str, tuple[str, int]]) -> DataFrame:
     return df.selectExpr("*", *[f"count({x}) {history} AS _n_{x}" for x in values]).selectExpr(
         *kept,
         *[
-            f"CASE WHEN _n_{x} = 1 THEN {x} ELSE {x} * {2.0 / (span + 1)!r}D END AS {u}"
+            f"CASE WHEN {x} IS NULL AND _n_{x} > 0 THEN CAST(raise_error('{x} has a hole: an exponential average needs"
+            f" contiguous values') AS DOUBLE) WHEN _n_{x} = 1 THEN {x} ELSE {x} * {2.0 / (span + 1)!r}D END AS {u}"
             for u, (x, span) in sources.items()
         ],
     )

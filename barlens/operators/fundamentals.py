@@ -205,17 +205,15 @@ def collect_fundamentals(
     )
 
 
-def annual_table(records: DataFrame, period_ends: list[str]) -> DataFrame:
-    """Metric x fiscal year, with the fixed metric order in ``metric_no``.
+def annual_table(records: DataFrame) -> DataFrame:
+    """Annual values by metric and fiscal year, long: every year that the data holds.
 
-    The years are given, so no extra job is needed to find the columns.
+    ``metric_no`` is the fixed order of the metrics, ``period_no`` counts the ticker's years back
+    from its latest.
     """
-    annual = records.where(F.col("period_type") == "annual")
-    return (
-        annual.groupBy("ticker", "metric")
-        .pivot("period_end", [date.fromisoformat(p) for p in period_ends])
-        .agg(F.first("value"))
-        .withColumn("metric_no", metric_no())
+    years = Window.partitionBy("ticker").orderBy(F.col("period_end").desc())
+    return records.where(F.col("period_type") == "annual").select(
+        "ticker", "metric", metric_no().alias("metric_no"), "period_end", F.dense_rank().over(years).cast("long").alias("period_no"), "value"
     )
 
 
@@ -223,15 +221,15 @@ def metric_no() -> Column:
     return points(F.col("metric"), {m: k for k, m in enumerate(ANNUAL_ORDER)}).cast("long")
 
 
-def annual_table_complete(records: DataFrame, period_ends: list[str]) -> DataFrame:
-    """Every expected metric for every ticker that has annual rows, known or not."""
-    table = annual_table(records, period_ends)
-    expected = table.select("ticker").distinct().withColumn(
+def annual_table_complete(records: DataFrame) -> DataFrame:
+    """Every expected metric for every year of every ticker that has annual rows, known or not."""
+    table = annual_table(records)
+    expected = table.select("ticker", "period_end", "period_no").distinct().withColumn(
         "metric", F.explode(F.array(*map(F.lit, ANNUAL_ORDER)))
     )
-    return (
-        expected.join(table.drop("metric_no"), ["ticker", "metric"], "left")
-        .withColumns({"metric_no": metric_no(), "label": metric_label(F.col("metric"))})
+    values = table.select("ticker", "period_end", "metric", "value")
+    return expected.join(values, ["ticker", "period_end", "metric"], "left").select(
+        "ticker", "metric", metric_no().alias("metric_no"), metric_label(F.col("metric")).alias("label"), "period_end", "period_no", "value"
     )
 
 

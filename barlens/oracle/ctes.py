@@ -65,11 +65,13 @@ def with_ctes(body: str) -> str:
 
 
 # ---- bars -------------------------------------------------------------------------
-CTES["daily"] = """
-SELECT l_returnflag || l_linestatus AS ticker, CAST(l_shipdate AS DATE) AS date,
+LINE_TICKER = "l_returnflag || l_linestatus || CASE WHEN l_suppkey > 10 THEN CAST((l_suppkey - 1) // 10 AS VARCHAR) ELSE '' END"
+CTES["daily"] = f"""
+SELECT {LINE_TICKER} AS ticker,
+  CAST(l_shipdate AS DATE) + CASE isodow(l_shipdate) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS date,
   sum(CAST(round(l_discount * 100) AS BIGINT) - 5) AS step, sum(l_quantity) AS volume,
   max(l_quantity) AS qmax, min(l_quantity) AS qmin
-FROM lineitem WHERE isodow(l_shipdate) < 6 GROUP BY 1, 2"""
+FROM lineitem GROUP BY 1, 2"""
 CTES["path"] = f"""
 SELECT *, round(100 * exp((CASE WHEN ticker = 'MKT' THEN 0.0008e0 ELSE 0.002e0 END)
   * CAST(sum(step) OVER ({W}) AS DOUBLE)), 4) AS close
@@ -77,8 +79,8 @@ FROM (SELECT * FROM daily UNION ALL
   SELECT 'MKT', date, sum(step), sum(volume), max(qmax), min(qmin)
   FROM daily WHERE day(date) <> 13 GROUP BY date)"""
 CTES["all_bars"] = f"""
-SELECT ticker, date, open, round(greatest(open, close) * (1 + 0.0002e0 * qmax), 4) AS high,
-  round(least(open, close) * (1 - 0.0002e0 * qmin), 4) AS low, close,
+SELECT ticker, date, open, round(greatest(open, close) * (1 + 0.00021347e0 * qmax), 4) AS high,
+  round(least(open, close) * (1 - 0.00021347e0 * qmin), 4) AS low, close,
   round(close * power(0.99e0, 2001 - year(date)), 4) AS adj_close, volume
 FROM (SELECT *, coalesce(lag(close) OVER ({W}), 100e0) AS open FROM path)"""
 CTES["bars"] = "SELECT * FROM all_bars WHERE ticker <> 'MKT'"
@@ -187,12 +189,18 @@ SELECT * EXCLUDE (session) REPLACE (
   CASE WHEN day(event_date) % 10 = 3 THEN 'Researched manually' ELSE verification_status END AS verification_status,
   CASE WHEN day(event_date) % 10 = 3 THEN 'checked' ELSE notes END AS notes)
 FROM found_old"""
+CTES["owner"] = f"""
+SELECT l_orderkey AS o_orderkey, min(struct_pack(price := l_extendedprice, ticker := {LINE_TICKER})).ticker AS ticker
+FROM lineitem GROUP BY 1"""
 CTES["releases"] = """
-SELECT ['AF','AO','NF','NO','RF','RO'][CAST(o_orderkey % 500 AS INTEGER) + 1] AS ticker,
-  o_orderdate + to_hours(CAST((o_orderkey // 500) % 24 AS INTEGER)) AS release_time, eps_estimate, reported_eps,
+SELECT ticker, release_time, eps_estimate, reported_eps,
   round((reported_eps / CASE WHEN eps_estimate <> 0 THEN eps_estimate END - 1) * 100, 2) AS surprise_pct
-FROM (SELECT *, round(eps_estimate * (0.8e0 + 0.04e0 * ((o_orderkey // 500) % 11)), 2) AS reported_eps
-  FROM (SELECT *, round(o_totalprice / 100000, 2) AS eps_estimate FROM orders WHERE o_orderkey % 500 < 6))"""
+FROM (SELECT *, round(eps_estimate * (0.8e0 + 0.04e0 * (o_orderkey % 11)), 2) AS reported_eps,
+    row_number() OVER (PARTITION BY ticker, release_time ORDER BY o_orderkey) AS copy
+  FROM (SELECT *, round(o_totalprice / 100000, 2) AS eps_estimate,
+      o_orderdate + to_hours(CAST(o_orderkey % 21 + 3 AS INTEGER)) AS release_time
+    FROM orders JOIN owner USING (o_orderkey)))
+WHERE copy = 1"""
 CTES["reaction"] = """
 SELECT r.*, (SELECT min(b.date) FROM bars b WHERE b.ticker = r.ticker
    AND b.date >= CAST(r.release_time AS DATE) + CASE WHEN hour(r.release_time) >= 16 THEN 1 ELSE 0 END) AS reaction_date
@@ -532,8 +540,8 @@ FROM (SELECT p.*, g.level_no, g.level_price, min(p.k) OVER (PARTITION BY p.ticke
   FROM pool p JOIN greedy_rec g USING (ticker, side, k)) WHERE level_no <= 2 GROUP BY 1, 2, 3"""
 
 # ---- fundamentals -------------------------------------------------------------------------------
-CTES["yearly"] = """
-SELECT l_returnflag || l_linestatus AS ticker, year(l_shipdate) AS y, round(sum(l_extendedprice), 2) AS a,
+CTES["yearly"] = f"""
+SELECT {LINE_TICKER} AS ticker, year(l_shipdate) AS y, round(sum(l_extendedprice), 2) AS a,
   round(sum(l_extendedprice * l_discount * 4), 2) AS b, round(sum(l_extendedprice * l_discount * 2), 2) AS c,
   round(sum(l_extendedprice * l_discount), 2) AS d, round(sum(l_tax * l_extendedprice), 2) AS e,
   round(sum(l_quantity), 2) AS f
@@ -549,12 +557,12 @@ _ITEMS = (
 CTES["statements"] = " UNION ALL ".join(
     f"""SELECT t.ticker, '{st}' AS statement, '{item}' AS item, make_date(yy.y, 12, 31) AS period_end, v.{c} AS value,
   '{metric}' AS metric, '{label}' AS label
-FROM (SELECT DISTINCT ticker FROM yearly) t CROSS JOIN (SELECT unnest(range(1995, 2003)) AS y) yy
+FROM (SELECT DISTINCT ticker FROM yearly) t CROSS JOIN (SELECT DISTINCT y FROM yearly) yy
 LEFT JOIN yearly v ON v.ticker = t.ticker AND v.y = yy.y AND NOT (v.ticker = 'RF' AND v.y = 1999)"""
     for c, st, item, metric, label in _ITEMS
 )
-CTES["info"] = """
-SELECT l_returnflag || l_linestatus AS ticker, CAST(round(sum(l_extendedprice), 2) AS DECIMAL(24, 2)) AS revenue,
+CTES["info"] = f"""
+SELECT {LINE_TICKER} AS ticker, CAST(round(sum(l_extendedprice), 2) AS DECIMAL(24, 2)) AS revenue,
   CAST(sum(l_quantity) AS BIGINT) AS shares, count(*) AS lines FROM lineitem GROUP BY 1"""
 CTES["who"] = """
 SELECT ticker, CASE WHEN ticker <> 'AO' THEN 'The ' || ticker ELSE 'Company ' || ticker END AS name,

@@ -436,11 +436,9 @@ raw("macd_event_details", f"""SELECT ticker, {D}, concat_ws('|', CASE WHEN macd_
 raw("obv_divergence", f"SELECT ticker, {D}, coalesce(ta_return_5d <> 0 AND sign(obv_slope10) = -sign(ta_return_5d) AND abs(obv_slope10) >= 0.1 AND abs(move_5d_atr) >= 1, false) AS obv_divergence FROM ind")
 raw("rs_shift", f"SELECT ticker, {D}, CASE WHEN abs(relative_strength_score) >= 0.5 AND sign(relative_strength_score) <> sign(rel_20d) THEN CASE WHEN relative_strength_score > 0 THEN 'out' ELSE 'under' END END AS rs_shift FROM lab")
 raw("momentum_pace", f"SELECT ticker, {D}, CASE WHEN macd_state = 'Improving' AND rsi6_change_3d >= 0 THEN 'building' WHEN macd_state = 'Weakening' AND rsi6_change_3d <= 0 THEN 'fading' ELSE 'mixed' END AS momentum_pace FROM lab")
-raw("volume_verdict", f"""SELECT ticker, {D}, CASE WHEN volume_level IN ('Very high participation', 'Strong participation') THEN CASE day_direction
-  WHEN 'up' THEN 'heavy volume on an up day, so buying pressure is confirmed by volume'
-  WHEN 'down' THEN 'heavy volume on a down day, which is selling pressure, not confirmation of strength' ELSE 'heavy volume on an unchanged close' END
-  WHEN volume_level = 'Weak participation' THEN 'light volume, so ' || CASE day_direction WHEN 'up' THEN 'the up move' WHEN 'down' THEN 'the down move' ELSE 'the move' END || ' has little participation'
-  WHEN volume_level = 'Normal' THEN 'volume close to its 20-session average, so no strong confirmation either way' ELSE 'not available' END AS volume_verdict FROM lab""")
+_side = "CASE WHEN day_direction IN ('up', 'down') THEN day_direction ELSE 'flat' END"
+raw("volume_verdict", f"""SELECT ticker, {D}, CASE WHEN volume_level IN ('Very high participation', 'Strong participation') THEN 'heavy_' || {_side}
+  WHEN volume_level = 'Weak participation' THEN 'light_' || {_side} WHEN volume_level = 'Normal' THEN 'usual' ELSE 'unknown' END AS volume_verdict FROM lab""")
 raw("atr_ranges", f"SELECT ticker, m AS multiple, {R(['low=close - m * atr', 'high=close + m * atr'], 6)} FROM tech_last, (VALUES (1e0), (1.5e0), (2e0)) v(m) WHERE atr IS NOT NULL")
 _refs = [("high20", "20D high", "CASE WHEN broke_up THEN 'beyond' WHEN atr > 0 AND high20 - close <= atr THEN 'near' ELSE '' END"),
          ("low20", "20D low", "CASE WHEN broke_down THEN 'beyond' WHEN atr > 0 AND close - low20 <= atr THEN 'near' ELSE '' END"),
@@ -477,11 +475,12 @@ raw("annual_fundamentals", f"SELECT {_f.format(R('value', 2))} FROM annual")
 raw("calculated_ratios", f"SELECT {_f.format(R('value', 8))} FROM ratios")
 _order = [m[0] for m in STATEMENT_METRICS] + [m[0] for m in CALCULATED_METRICS]
 _no = "CASE metric " + " ".join(f"WHEN {q(m)} THEN {k}" for k, m in enumerate(_order)) + " END"
-_years = ", ".join(f"round(max(value) FILTER (period_end = '{y}-12-31'), 4) + 0e0 AS \"{y}-12-31\"" for y in range(1995, 2003))
-_pivot = f"SELECT ticker, metric, {_years} FROM funda WHERE period_type = 'annual' GROUP BY 1, 2"
-raw("annual_table", f"SELECT *, {_no} AS metric_no FROM ({_pivot})")
-raw("annual_table_complete", f"""SELECT t.*, {_no} AS metric_no, {_labels} AS label FROM (SELECT a.ticker, m.metric, p.* EXCLUDE (ticker, metric)
-FROM (SELECT DISTINCT ticker FROM annual) a CROSS JOIN (SELECT unnest([{', '.join(map(q, _order))}]) AS metric) m LEFT JOIN ({_pivot}) p ON p.ticker = a.ticker AND p.metric = m.metric) t""")
+_long = f"""SELECT *, dense_rank() OVER (PARTITION BY ticker ORDER BY period_end DESC) AS period_no FROM funda WHERE period_type = 'annual'"""
+raw("annual_table", f"SELECT ticker, metric, {_no} AS metric_no, period_end, period_no, {R('value', 4)} FROM ({_long})")
+raw("annual_table_complete", f"""SELECT t.ticker, t.metric, {_no} AS metric_no, {_labels} AS label, t.period_end, t.period_no, {R('value', 4)}
+FROM (SELECT p.ticker, p.period_end, p.period_no, m.metric, f.value FROM (SELECT DISTINCT ticker, period_end, period_no FROM ({_long})) p
+  CROSS JOIN (SELECT unnest([{', '.join(map(q, _order))}]) AS metric) m
+  LEFT JOIN ({_long}) f ON f.ticker = p.ticker AND f.period_end = p.period_end AND f.metric = m.metric) t""")
 raw("fundamentals_gaps", f"""SELECT i.ticker, count(*) FILTER (period_type = 'snapshot') AS snapshot_rows, count(*) FILTER (period_type = 'annual') AS annual_rows,
   count(*) FILTER (period_type = 'snapshot') = 0 AS no_snapshot, count(*) FILTER (period_type = 'annual') = 0 AS no_annual
 FROM info i LEFT JOIN (SELECT ticker, period_type FROM funda WHERE {_live}) f USING (ticker) GROUP BY 1""")

@@ -30,7 +30,6 @@ PROVIDER = "provider"
 RETRIEVED = date(2002, 1, 31)
 RUN_DATE = date(2001, 11, 10)
 OLD_CUT = "2000-12-31"
-PERIOD_ENDS = [f"{y}-12-31" for y in range(1995, 2003)]
 
 
 def shown(df: DataFrame, digits: int = 8) -> DataFrame:
@@ -1074,12 +1073,12 @@ def calculated_ratios(x: Inputs) -> DataFrame:
 
 @query(digits=4)
 def annual_table(x: Inputs) -> DataFrame:
-    return fundamentals.annual_table(x.fundamentals, PERIOD_ENDS)
+    return fundamentals.annual_table(x.fundamentals)
 
 
 @query(digits=4)
 def annual_table_complete(x: Inputs) -> DataFrame:
-    return fundamentals.annual_table_complete(x.fundamentals, PERIOD_ENDS)
+    return fundamentals.annual_table_complete(x.fundamentals)
 
 
 @query()

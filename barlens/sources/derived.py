@@ -1,8 +1,8 @@
 """Bars, calendars, statements and stored tables derived from the provided tables.
 
 The provided tables hold no prices.  Each ``ticker`` is a (return flag, line
-status) pair of ``lineitem``; its daily close follows the day's discounts.  The
-benchmark ``MKT`` is the whole market without the 13th of each month, so that some
+status) pair of ``lineitem`` within ten suppliers, so tickers grow with the data; its
+daily close follows the day's discounts, weekends counting to Monday.  The benchmark ``MKT`` is the whole market without the 13th of each month, so that some
 benchmark days are missing.
 """
 
@@ -12,7 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BENCHMARK = "MKT"
-TICKERS = ("AF", "AO", "NF", "NO", "RF", "RO")
+
+
+def line_ticker() -> Column:
+    """Ticker of a line item: AF, AO, NF, NO, RF, RO for the first ten suppliers, then AF1, ..."""
+    ten = F.expr("CASE WHEN l_suppkey > 10 THEN CAST((l_suppkey - 1) DIV 10 AS STRING) ELSE '' END")
+    return F.concat("l_returnflag", "l_linestatus", ten)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +38,9 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     day = (
         table(spark, sf_dir, "lineitem")
-        .where(~F.dayofweek("l_shipdate").isin(1, 7))
         .select(
-            F.concat("l_returnflag", "l_linestatus").alias("ticker"),
-            F.to_date("l_shipdate").alias("date"),
+            line_ticker().alias("ticker"),
+            F.expr("date_add(to_date(l_shipdate), CASE dayofweek(l_shipdate) WHEN 7 THEN 2 WHEN 1 THEN 1 ELSE 0 END)").alias("date"),
             (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("step"),
             F.col("l_quantity").alias("volume"),
             F.col("l_quantity").alias("qmax"),
@@ -59,8 +63,8 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             "ticker",
             "date",
             "open",
-            F.round(F.greatest("open", "close") * (1 + 0.0002 * F.col("qmax")), 4).alias("high"),
-            F.round(F.least("open", "close") * (1 - 0.0002 * F.col("qmin")), 4).alias("low"),
+            F.round(F.greatest("open", "close") * (1 + 0.00021347 * F.col("qmax")), 4).alias("high"),
+            F.round(F.least("open", "close") * (1 - 0.00021347 * F.col("qmin")), 4).alias("low"),
             "close",
             F.round(
                 F.col("close") * F.pow(F.lit(0.99), (2001 - F.year("date")).cast("double")), 4
@@ -105,27 +109,32 @@ def dirty_bars(frame: DataFrame) -> DataFrame:
 
 
 def earnings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Releases per ticker from ``orders``, as UTC instants with the source's own names."""
-    rest = F.expr("o_orderkey % 500")
-    turn = F.expr("o_orderkey div 500")
+    """A release for every order, of the ticker of its cheapest line, as UTC instants with the source's own names."""
     estimate = F.round(F.col("o_totalprice") / 100000, 2)
-    reported = F.round(estimate * (F.lit(0.8) + F.lit(0.04) * (turn % 11)), 2)
-    local = F.timestamp_add("HOUR", (turn % 24).cast("int"), F.col("o_orderdate").cast("timestamp"))
-    return (
-        table(spark, sf_dir, "orders")
-        .where(rest < len(TICKERS))
-        .select(
-            F.element_at(F.array(*map(F.lit, TICKERS)), (rest + 1).cast("int")).alias("ticker"),
-            F.to_utc_timestamp(local, "America/New_York").alias("Earnings Date"),
-            estimate.alias("EPS Estimate"),
-            reported.alias("Reported EPS"),
-            F.round((F.try_divide(reported, F.when(estimate != 0, estimate)) - 1) * 100, 2).alias(
-                "Surprise(%)"
-            ),
-        )
+    reported = F.round(estimate * (F.lit(0.8) + F.lit(0.04) * (F.col("o_orderkey") % 11)), 2)
+    local = F.timestamp_add("HOUR", (F.col("o_orderkey") % 21 + 3).cast("int"), F.col("o_orderdate").cast("timestamp"))
+    owner = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.min(F.struct("l_extendedprice", line_ticker().alias("ticker"))).alias("least"))
+        .select("o_orderkey", "least.ticker")
+    )
+    return table(spark, sf_dir, "orders").join(owner, "o_orderkey").select(
+        "ticker",
+        F.col("o_orderkey").alias("ingest_seq"),
+        F.to_utc_timestamp(local, "America/New_York").alias("Earnings Date"),
+        estimate.alias("EPS Estimate"),
+        reported.alias("Reported EPS"),
+        F.round((F.try_divide(reported, F.when(estimate != 0, estimate)) - 1) * 100, 2).alias("Surprise(%)"),
     )
 
 
+def fiscal_years(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The fiscal years that the data holds: one value a year, needed to name the columns of a wide table."""
+    rows = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("y")).distinct().collect()
+    return sorted(r["y"] for r in rows if r["y"] is not None)
+
+
 def statements_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annual statements, one row per (ticker, statement, item) and one column per year end.
 
@@ -144,7 +153,7 @@ def statements_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     yearly = (
         table(spark, sf_dir, "lineitem")
         .groupBy(
-            F.concat("l_returnflag", "l_linestatus").alias("ticker"),
+            line_ticker().alias("ticker"),
             F.year("l_shipdate").alias("fiscal_year"),
         )
         .agg(*[F.round(s, 2).alias(f"{st}.{item}") for (st, item), s in sums.items()])
@@ -162,12 +171,13 @@ def statements_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             ]
         )
     ).alias("line")
+    years = fiscal_years(spark, sf_dir)
     long = yearly.select("ticker", "fiscal_year", lines).select("ticker", "fiscal_year", "line.*")
     return (
         long.groupBy("ticker", "statement", "item")
-        .pivot("fiscal_year", list(range(1995, 2003)))
+        .pivot("fiscal_year", years)
         .agg(F.first("value"))
-        .withColumnsRenamed({str(y): f"{y}-12-31" for y in range(1995, 2003)})
+        .withColumnsRenamed({str(y): f"{y}-12-31" for y in years})
     )
 
 
@@ -175,7 +185,7 @@ def company_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, info map<string,string>) with one infinite, one empty and one absent value."""
     agg = (
         table(spark, sf_dir, "lineitem")
-        .groupBy(F.concat("l_returnflag", "l_linestatus").alias("ticker"))
+        .groupBy(line_ticker().alias("ticker"))
         .agg(
             F.round(F.sum("l_extendedprice"), 2).alias("revenue"),
             F.sum("l_quantity").alias("quantity"),

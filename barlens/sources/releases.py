@@ -16,11 +16,12 @@ VALUE_NAMES = {
 }
 
 
-def earnings_scan(raw: DataFrame, zone: str = "America/New_York") -> DataFrame:
+def earnings_scan(raw: DataFrame, zone: str = "America/New_York", order: str = "ingest_seq") -> DataFrame:
     """(ticker, release_time, eps_estimate, reported_eps, surprise_pct), one row per time.
 
     Instants become wall time of the exchange; wall times are kept.  Copies of a
-    release are reduced by an aggregate, so many copies are combined map-side.
+    release are reduced by an aggregate, so many copies are combined map-side: the first
+    by ``order`` stays.  Without such a column the copy with the smallest values does.
     """
     name = next(n for n in TIME_NAMES if n in raw.columns)
     time = F.col(f"`{name}`")
@@ -40,10 +41,11 @@ def earnings_scan(raw: DataFrame, zone: str = "America/New_York") -> DataFrame:
         raw.select(
             "ticker",
             time.cast("timestamp_ntz").alias("release_time"),
+            F.col(order).alias("_order") if order in raw.columns else F.lit(0).alias("_order"),
             *[value(names).alias(c) for c, names in VALUE_NAMES.items()],
         )
         .where(F.col("release_time").isNotNull())
         .groupBy("ticker", "release_time")
-        .agg(F.max(F.struct(*VALUE_NAMES)).alias("_v"))
-        .select("ticker", "release_time", "_v.*")
+        .agg(F.min(F.struct("_order", *VALUE_NAMES)).alias("_v"))
+        .select("ticker", "release_time", *[f"_v.{c}" for c in VALUE_NAMES])
     )

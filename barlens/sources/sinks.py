@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import shared_folder
 from ..functions.nulls import finite
 from ..vocab import FUNDAMENTAL_COLUMNS
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only where the session names none (tests on one machine) a local one is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the folder that all executors share (``spark.checkpoint.dir``)."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def events_sink_csv(events: DataFrame, path: str) -> None:
