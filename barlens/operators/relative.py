@@ -1,7 +1,8 @@
 """Comparison with a benchmark series.
 
-The benchmark is ONE ticker's daily series, at most one row per calendar day, so
-broadcasting it is bounded (36,525 rows in a hundred years).  It is aligned to each
+The benchmark is ONE daily series, reduced to one row per calendar day whatever the
+caller gives, so broadcasting it is bounded (36,525 rows in a hundred years) and a
+repeated day multiplies no session.  It is aligned to each
 ticker's own sessions first; returns are taken afterwards and never span a missing day.
 """
 
@@ -17,7 +18,7 @@ from ..vocab import FORWARD_HORIZONS
 
 def align_benchmark(df: DataFrame, benchmark: DataFrame, price: str = "price") -> DataFrame:
     """Add ``benchmark_price`` by date; a day without one stays NULL."""
-    series = benchmark.select("date", F.col(price).alias("benchmark_price"))
+    series = benchmark.groupBy("date").agg(F.max(price).alias("benchmark_price"))
     return df.join(F.broadcast(series), "date", "left")
 
 

@@ -186,8 +186,13 @@ def return_distribution(stats: DataFrame) -> DataFrame:
     )
 
 
-def tail_frequency(stats: DataFrame, threshold: float = 2.5) -> DataFrame:
-    """Observed share of days beyond the threshold against a normal distribution's."""
+def tail_frequency(stats: DataFrame, threshold: float | None = 2.5) -> DataFrame:
+    """Observed share of days beyond the threshold against a normal distribution's.
+
+    No rows where the rule is switched off (``threshold`` None).
+    """
+    if threshold is None:
+        return tail_frequency(stats.where(F.lit(False)))
     normal = math.erfc(threshold / math.sqrt(2))
     beyond = F.abs("return_zscore") >= threshold
     return (

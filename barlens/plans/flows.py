@@ -12,7 +12,11 @@ from ..vocab import OUTCOMES
 
 
 def statistics(bars: DataFrame, benchmark: DataFrame | None, params: Params = Params()) -> DataFrame:
-    """Statistics of cleaned bars; ``benchmark`` is the benchmark's own cleaned bars."""
+    """Statistics of cleaned bars; ``benchmark`` is the benchmark's own cleaned bars.
+
+    Each ticker's history is cut to ``params.period`` first.
+    """
+    bars = cleaning.trim_to_period(bars, params.period)
     stats = daily_stats.add_statistics(cleaning.choose_price_column(bars), params.statistics)
     if benchmark is None:
         return stats
@@ -56,7 +60,7 @@ def indicator_frame(
         have = set(priced.columns)
         carried = [c for c in OUTCOMES if c in have]
     else:
-        priced = cleaning.choose_price_column(bars)
+        priced = cleaning.choose_price_column(cleaning.trim_to_period(bars, params.period))
         if benchmark is not None:
             priced = relative.align_benchmark(priced, cleaning.choose_price_column(benchmark))
         carried = []

@@ -61,7 +61,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.params = Params(benchmark=derived.BENCHMARK)
+        self.params = Params(period="max", benchmark=derived.BENCHMARK)
 
     @cached_property
     def all_bars(self) -> DataFrame:
@@ -100,7 +100,7 @@ class Inputs:
     @cached_property
     def plain(self) -> DataFrame:
         """Statistics without a benchmark."""
-        return flows.statistics(self.bars, None)
+        return flows.statistics(self.bars, None, self.params)
 
     @cached_property
     def stats(self) -> DataFrame:

@@ -24,17 +24,18 @@ def _standard_names(df: DataFrame) -> dict[str, str]:
     return found
 
 
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?( ?(Z|[+-]\d{2}:?\d{2}))?)?$"
+
+
 def _as_date(df: DataFrame, name: str) -> Column:
     kind = dict(df.dtypes)[name]
     column = F.col(f"`{name}`")
     if kind != "string":
         return F.to_date(column)
-    head = F.substring(F.trim(column), 1, 10)
-    return F.coalesce(
-        F.try_to_date(head, "yyyy-MM-dd"),
-        F.try_to_date(head, "MM/dd/yyyy"),
-        F.try_to_date(F.trim(column), "M/d/yyyy"),
-    )
+    text = F.trim(column)
+    # the whole text must be a date, or a date with a time and perhaps an offset
+    iso = F.when(text.rlike(ISO_TIME), F.substring(text, 1, 10))
+    return F.coalesce(F.try_to_date(iso, "yyyy-MM-dd"), F.try_to_date(text, "M/d/yyyy"))
 
 
 def _as_number(df: DataFrame, name: str) -> Column:

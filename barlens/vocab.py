@@ -303,3 +303,15 @@ FUNDAMENTAL_COLUMNS = (
     "retrieved_at",
 )
 CURRENCY_UNKNOWN = "currency unknown"
+
+# Labels of event groups, by side of the price rule and by volume rule (None: either).
+EVENT_GROUPS = {
+    (None, None): "All events",
+    ("up", None): "Up moves (price rule fired)",
+    ("down", None): "Down moves (price rule fired)",
+    ("up", True): "Up moves with abnormal volume",
+    ("up", False): "Up moves without abnormal volume",
+    ("down", True): "Down moves with abnormal volume",
+    ("down", False): "Down moves without abnormal volume",
+}
+VOLUME_ONLY = "Volume-only events"

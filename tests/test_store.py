@@ -1,4 +1,4 @@
-"""Merges, imports, cleaning, sources, streaming."""
+"""Merges, imports, cleaning, sources."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from barlens.operators import cleaning, fundamentals, merge
 from barlens.params import EventParams, Params
 from barlens.plans import flows
 from barlens.sources import bars as bar_sources
-from barlens.sources.store import SnapshotStore
-from barlens.streaming.merges import merge_stream
 from barlens.vocab import EVENT_COLUMNS
 from helpers import BARS, walk, weekdays
 
@@ -151,20 +149,3 @@ def test_event_study_in_one_pass_equals_two(spark):
     one = flows.event_study(bars, None, params)
     names = ["ticker", "group", "n_events", "n_7d", "median_5d", "mean_mfe_3d"]
     assert sorted(map(str, one.select(*names).collect())) == sorted(map(str, two.select(*names).collect()))
-
-
-def test_streamed_merge_keeps_one_row_per_key(spark, tmp_path):
-    bars = walk(spark, 30)
-    days = weekdays(30)
-    source = str(tmp_path / "in")
-    bars.where(F.col("date") <= days[19]).coalesce(1).write.parquet(source)
-    store = SnapshotStore(spark, str(tmp_path / "store"), bars.schema)
-    def stream():
-        return spark.readStream.schema(bars.schema).parquet(source)
-    for _ in range(2):
-        merge_stream(stream(), store, merge.merge_prices, str(tmp_path / "cp")).awaitTermination()
-    assert store.read().count() == 20
-    late = bars.where(F.col("date") >= days[15]).withColumn("close", F.col("close") + 1)
-    late.coalesce(1).write.mode("append").parquet(source)
-    merge_stream(stream(), store, merge.merge_prices, str(tmp_path / "cp")).awaitTermination()
-    assert store.read().count() == 30 == store.read().select("date").distinct().count()
