@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm import chat, decontamination, html, lines, mixing, neighbours, simhash, substrings, tokens, toxicity
+from barlens.llm import chat, decontamination, html, lines, mixing, neighbours, oracle, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line of the corpus."""
-    return lines.removed_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.removed_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "line")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
