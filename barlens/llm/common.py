@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,40 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int = 4_000_000)
             yield batch.slice(start)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_BYTE = _scrambled(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def hashed_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text's bytes begin, and a 64-bit hash of each.
+
+    A word's hash is a sum over its bytes of the byte's code times a code of the place, scrambled.
+    Words are hashed some at a time, to bound memory.
+    """
+    edge = np.diff(_SPACE[buffer].astype(np.int8), prepend=1, append=1)
+    starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    hashes = np.empty(len(starts), np.uint64)
+    longest = int((ends - starts).max()) if len(starts) else 0
+    place = _scrambled(np.arange(1, longest + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    for a in range(0, len(starts), 100_000):
+        first, sizes = starts[a : a + 100_000], (ends - starts)[a : a + 100_000]
+        begin = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) - np.repeat(begin, sizes)
+        codes = _BYTE[buffer[np.repeat(first, sizes) + at]] * place[at]
+        hashes[a : a + 100_000] = _scrambled(np.add.reduceat(codes, begin))
+    return starts, hashes
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder and read from there.
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.common import pieces, stored, utf8
+from barlens.llm.common import hashed_words, pieces, stored, utf8
 
 #: Words of a passage, and from one passage's start to the next.
 PASSAGE, STRIDE = 64, 32
@@ -23,7 +22,7 @@ OWN = 10.0
 #: Cosine of a candidate; shares of an item's words in common order, alone and with its answer.
 COSINE, VERBATIM, PARAPHRASE = 0.45, 0.75, 0.5
 #: A word in more than this share of passages tells nothing, unless it is among an item's rarest.
-COMMON, RAREST = 0.01, 8
+COMMON, RAREST = 0.001, 8
 #: Words of an answer where the item marks none, and the share of them that must be found.
 ANSWER, ANSWERED = 8, 0.5
 #: Benchmark passages per model: what is collected and broadcast is bounded by it.
@@ -97,15 +96,39 @@ def _value(x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["value"])
 
 
-def _looked_up(texts: list[bytes | None], vocab: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the texts; for those in the vocabulary their text, place in it, and number."""
-    words = [words_of(t) for t in texts]
-    sizes = np.array([len(x) for x in words], np.int64)
-    flat = np.fromiter(map(vocab.get, chain.from_iterable(words), repeat(-1)), np.int32, sizes.sum())
-    at = np.flatnonzero(flat >= 0)
-    ends = np.cumsum(sizes)
-    doc = np.searchsorted(ends, at, "right")
-    return words, doc, at - (ends - sizes)[doc], flat[at].astype(np.int64)
+@dataclass
+class Vocabulary:
+    """Words by number; their hashes in order, the numbers that go with these, and a mark a cell."""
+
+    words: list[bytes]
+    hashes: np.ndarray
+    numbers: np.ndarray
+    marked: np.ndarray
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.words = words
+        hashes = hashed_words(np.frombuffer(b" ".join(words), np.uint8))[1]
+        self.numbers = np.argsort(hashes)
+        self.hashes = hashes[self.numbers]
+        self.marked = np.unique(hashes >> np.uint64(42))
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts' words that it has: text, place in the text, number; and how many words each text has."""
+        folded = [x.translate(_FOLD) for x in texts]
+        ends = np.cumsum([len(x) + 1 for x in folded])
+        starts, hashes = hashed_words(np.frombuffer(b" ".join(folded), np.uint8))
+        text = np.searchsorted(ends, starts, "right")
+        sizes = np.bincount(text, minlength=len(texts))
+        cells = np.zeros(1 << 22, bool)
+        cells[self.marked] = True
+        at = np.flatnonzero(cells[hashes >> np.uint64(42)])
+        to = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        same = self.hashes[to] == hashes[at]
+        at, to = at[same], to[same]
+        return text[at], at - (np.cumsum(sizes) - sizes)[text[at]], self.numbers[to], sizes
 
 
 def _passages(doc: np.ndarray, place: np.ndarray, word: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,27 +149,27 @@ def _passages(doc: np.ndarray, place: np.ndarray, word: np.ndarray, idf: np.ndar
     return np.stack([rows >> 24, rows & ((1 << 24) - 1)], axis=1), row, w, value
 
 
-def _frequencies(vocab: dict[bytes, int]) -> Callable:
+def _frequencies(vocab: Vocabulary) -> Callable:
     """How many stretches of ``STRIDE`` words hold each word; last, how many stretches there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(vocab) + 1, np.int64)
         for batch in pieces(batches, "text"):
-            words, doc, place, word = _looked_up(utf8(batch, "text"), vocab)
+            doc, place, word, sizes = vocab.find(utf8(batch, "text"))
             held = np.unique(((doc << 24) + place // STRIDE) * len(vocab) + word)
             seen[:-1] += np.bincount(held % len(vocab), minlength=len(vocab))
-            seen[-1] += sum(-(-len(x) // STRIDE) for x in words)
+            seen[-1] += (-(-sizes // STRIDE)).sum()
         yield _value(seen)
 
     return count
 
 
-def _sparse(vocab: dict[bytes, int], idf: np.ndarray) -> Callable:
+def _sparse(vocab: Vocabulary, idf: np.ndarray) -> Callable:
     """The passages of the corpus as sparse rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            _, doc, place, word = _looked_up(utf8(batch, "text"), vocab)
+            doc, place, word, _ = vocab.find(utf8(batch, "text"))
             rows, row, word, value = _passages(doc, place, word, idf)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([len(rows)], pa.int64())] + [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((row, np.int32), (word, np.int32), (value, np.float32))],
@@ -164,6 +187,13 @@ def _gram_times(shape: tuple[int, int], start: Callable[[], np.ndarray]) -> Call
         for batch in batches:
             for r in batch.to_pylist():
                 row, word, value = (np.frombuffer(r[k], t) for k, t in (("row", np.int32), ("word", np.int32), ("value", np.float32)))
+                # a row of one word has the value 1 and adds that word's row of S
+                many = np.bincount(row, minlength=r["n"])[row] > 1
+                if not many.all():
+                    used = True
+                    alone = np.bincount(word[~many], minlength=shape[0])
+                    total += alone[:, None].astype(np.float32) * thin
+                    row, word, value = row[many], word[many], value[many]
                 # rows come in order; a slice of them at a time bounds the dense part
                 cuts = np.searchsorted(row, np.arange(0, r["n"] + 4096, 4096))
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -187,7 +217,7 @@ def _gram_times(shape: tuple[int, int], start: Callable[[], np.ndarray]) -> Call
 class Model:
     """What the search needs: vocabulary, weights, latent directions, and the items in that space."""
 
-    vocab: dict[bytes, int]
+    vocab: Vocabulary
     idf: np.ndarray
     axes: np.ndarray
     items: list[Item]
@@ -211,7 +241,7 @@ def fit(docs: DataFrame, items: list[Item]) -> Model | None:
         return None
     text = docs.select("text")
     tasks = docs.rdd.getNumPartitions()
-    told = _tree(text.mapInArrow(_frequencies(vocab), "value binary"), _adding(np.int64), tasks).collect()
+    told = _tree(text.mapInArrow(_frequencies(Vocabulary(list(vocab))), "value binary"), _adding(np.int64), tasks).collect()
     seen = np.frombuffer(told[0][0], np.int64) if told else np.zeros(len(vocab) + 1, np.int64)
     kept = set()
     for x in items:
@@ -227,7 +257,7 @@ def fit(docs: DataFrame, items: list[Item]) -> Model | None:
     asked = np.where(asked > 0, 1 + np.log(np.maximum(asked, 1)), 0) * idf
     asked /= np.maximum(np.linalg.norm(asked, axis=1), 1e-12)[:, None]
 
-    rows = stored(text.mapInArrow(_sparse(vocab, idf), "n long, row binary, word binary, value binary"))
+    rows = stored(text.mapInArrow(_sparse(Vocabulary(list(vocab)), idf), "n long, row binary, word binary, value binary"))
     heavy = OWN * (rows.agg(F.sum("n")).head()[0] or 0) / len(items) + 1
     rank = min(len(vocab), RANK + SPARE)
     thin = np.linalg.qr(np.random.default_rng(5).normal(size=(len(vocab), rank)))[0]
@@ -246,7 +276,7 @@ def fit(docs: DataFrame, items: list[Item]) -> Model | None:
     latent = asked @ axes
     rest = np.sqrt(np.maximum(0, 1 - (latent**2).sum(axis=1)))
     weights = [{int(w): float(x[w]) for w in np.flatnonzero(x)} for x in asked]
-    return Model(vocab, idf, axes.astype(np.float32), items, weights, latent.astype(np.float32), rest.astype(np.float32), asked.max(axis=0))
+    return Model(Vocabulary(list(vocab)), idf, axes.astype(np.float32), items, weights, latent.astype(np.float32), rest.astype(np.float32), asked.max(axis=0))
 
 
 def found_in(texts: list[bytes], model: Model) -> list[dict]:
@@ -257,13 +287,14 @@ def found_in(texts: list[bytes], model: Model) -> list[dict]:
     is lost to the truncation; of those the cosine is computed in full.  The candidate, widened by half a passage on either side, must hold the item's words in order, a share
     ``VERBATIM`` of them, or a share ``PARAPHRASE`` and the answer.
     """
-    words, doc, place, word = _looked_up(texts, model.vocab)
+    doc, place, word, _ = model.vocab.find(texts)
     rows, row, word, value = _passages(doc, place, word, model.idf)
     # no item can bring a passage more than the largest weight of each of its words
     able = np.bincount(row, value * model.most[word], len(rows)) >= COSINE
     number = np.cumsum(able) - 1
     keep = able[row]
     rows, row, word, value = rows[able], number[row[keep]], word[keep], value[keep]
+    words: dict[int, list[bytes]] = {}
     best: dict[tuple, dict] = {}
     cuts = np.searchsorted(row, np.arange(0, len(rows) + 4096, 4096))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -279,7 +310,9 @@ def found_in(texts: list[bytes], model: Model) -> list[dict]:
             cosine = sum(own.get(w, 0.0) * v for w, v in zip(word[mine].tolist(), value[mine].tolist(), strict=True))
             if cosine < COSINE:
                 continue
-            d, p = rows[row[a] + r]
+            d, p = rows[row[a] + r].tolist()
+            if d not in words:
+                words[d] = words_of(texts[d])
             item = model.items[i]
             start = max(0, (p - 1) * STRIDE)
             near = words[d][start : (p + 1) * STRIDE + PASSAGE]
