@@ -64,7 +64,7 @@ FROM (SELECT p_partkey, upper(trim(CASE p_partkey % 3 WHEN 0 THEN '  brk-' || p_
 raw("dedupe_keep_last", f"SELECT ticker, {D}, {R(BAR)}, copies FROM deduped")
 raw("drop_bad_close", f"SELECT ticker, {D}, {R('close')}, ingest_seq FROM dirty WHERE close > 0")
 raw("min_rows_guard", f"""SELECT ticker || year(date) AS ticker, {D}, {R('close')} FROM bars
-QUALIFY count(*) OVER (PARTITION BY ticker, year(date)) >= 250""")
+QUALIFY count(*) OVER (PARTITION BY ticker, year(date)) >= 110""")
 raw("null_negative_volume", f"SELECT ticker, {D}, ingest_seq, {R('volume=CASE_V').replace('CASE_V', 'CASE WHEN volume >= 0 THEN volume END')} FROM dirty")
 raw("clean_prices", f"SELECT ticker, {D}, {R(BAR)} FROM cleaned")
 raw("quality_report", """SELECT ticker, CAST(sum(copies - 1) AS BIGINT) AS duplicate_rows, count(*) FILTER (close IS NULL OR close <= 0) AS bad_close_rows,
@@ -91,7 +91,7 @@ raw("short_history_flags", """SELECT ticker, n AS trading_days, concat_ws('|', C
 FROM (SELECT ticker, count(*) AS n FROM bars WHERE year(date) >= CASE ticker WHEN 'AF' THEN 2001 WHEN 'AO' THEN 2000 WHEN 'NF' THEN 1999 ELSE 1995 END GROUP BY 1)""")
 raw("event_filters", f"""SELECT ticker, {E}, {R('return_zscore volume_ratio')} FROM found
 WHERE ticker IN ('AF', 'NO', 'RO') AND abs(return_zscore) >= 2 AND volume_ratio >= 1.2""")
-raw("adjust_ohlcv", f"""SELECT ticker, {D}, {R('open=open*f high=coalesce(CASE/**/WHEN/**/day(date)<>21/**/THEN/**/high*f/**/END,close*f) low=low*f close=close*f')},
+raw("adjust_ohlcv", f"""SELECT ticker, {D}, {R('open=open*f high=coalesce(CASE/**/WHEN/**/day(date)<>21/**/THEN/**/high*f/**/END,close*f) low=low*f close=close*f', 6)},
   day(date) = 21 AS filled_high_low FROM (SELECT *, adj_close / close AS f FROM priced)""".replace("/**/", " "))
 
 # ---- joins ----------------------------------------------------------------------------------

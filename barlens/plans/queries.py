@@ -454,7 +454,7 @@ def drop_bad_close(x: Inputs) -> DataFrame:
 def min_rows_guard(x: Inputs) -> DataFrame:
     # a ticker per order status and year of the bars; only long enough ones stay
     rows = x.bars.withColumn("ticker", F.concat("ticker", F.year("date").cast("string")))
-    return cleaning.min_rows_guard(rows, 250).select("ticker", "date", "close")
+    return cleaning.min_rows_guard(rows, 110).select("ticker", "date", "close")
 
 
 @query()
@@ -515,7 +515,7 @@ def event_filters(x: Inputs) -> DataFrame:
     return kept.select("ticker", "event_date", "return_zscore", "volume_ratio")
 
 
-@query()
+@query(digits=6)
 def adjust_ohlcv(x: Inputs) -> DataFrame:
     holes = x.priced.withColumn("high", F.when(F.dayofmonth("date") != 21, F.col("high")))
     return indicators.adjust_ohlcv(holes).select(
