@@ -21,8 +21,6 @@ RANK, SPARE = 256, 16
 OWN = 10.0
 #: Cosine of a candidate; shares of an item's words in common order, alone and with its answer.
 COSINE, VERBATIM, PARAPHRASE = 0.45, 0.75, 0.5
-#: A word in more than this share of passages tells nothing, unless it is among an item's rarest.
-COMMON, RAREST = 0.001, 8
 #: Words of an answer where the item marks none, and the share of them that must be found.
 ANSWER, ANSWERED = 8, 0.5
 #: Benchmark passages per model: what is collected and broadcast is bounded by it.
@@ -228,7 +226,7 @@ class Model:
 
 
 def fit(docs: DataFrame, items: list[Item]) -> Model | None:
-    """Latent space of the corpus's passages over the words of ``items``; None if they have no words.
+    """Latent space of the corpus's passages over the words of ``items``; None if the corpus holds none of them.
 
     Word frequencies are counted over all passages.  The randomised SVD starts from random directions;
     two passes multiply them by the passages' Gram matrix, each task adding up its rows into one thin
@@ -243,11 +241,10 @@ def fit(docs: DataFrame, items: list[Item]) -> Model | None:
     tasks = docs.rdd.getNumPartitions()
     told = _tree(text.mapInArrow(_frequencies(Vocabulary(list(vocab))), "value binary"), _adding(np.int64), tasks).collect()
     seen = np.frombuffer(told[0][0], np.int64) if told else np.zeros(len(vocab) + 1, np.int64)
-    kept = set()
-    for x in items:
-        own = sorted(set(x.words), key=lambda w: (seen[vocab[w]], w))
-        kept.update(own[:RAREST])
-        kept.update(w for w in own if seen[vocab[w]] <= COMMON * seen[-1])
+    # no passage can match a word that the corpus never holds; every other one counts by its weight
+    kept = {w for w, i in vocab.items() if seen[i]}
+    if not kept:
+        return None
     idf = np.array([np.log((seen[-1] + 2) / (seen[vocab[w]] + 1)) for w in sorted(kept)])
     vocab = {w: i for i, w in enumerate(sorted(kept))}
 

@@ -179,6 +179,25 @@ def test_decontamination(spark):
     assert decontamination.matches(docs.limit(0), bench).count() == 0 and decontamination.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_without_rare_words(spark):
+    """Items are found by words that many passages hold, with the words that the corpus never holds replaced."""
+    rnd = random.Random(6)
+    usual = [f"u{i}" for i in range(300)]
+    fill = [" ".join(rnd.choices(usual, k=64)) for _ in range(200)]
+    items, rows = [], [(i, t, "a") for i, t in enumerate(fill)]
+    for k in range(4):
+        words = rnd.sample(usual, 30)
+        for j in range(9):
+            words[3 * j] = f"rare{k}x{j}"
+        items.append((k, " ".join(words)))
+        told = [f"other{k}" if w.startswith("rare") else w for w in words]
+        rows.append((1000 + k, f"{fill[k]} {' '.join(told)} {fill[k + 9]}", "a"))
+    got = decontamination.matches(_docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1000 + k, k) for k in range(4)}
+    none = spark.createDataFrame([(0, "alpha beta gamma delta")], "item_id long, text string")
+    assert decontamination.matches(_docs(spark, rows), none).count() == 0
+
+
 def test_common_words():
     rnd = random.Random(2)
     for _ in range(200):
