@@ -37,6 +37,8 @@ MARKS = set(
 #: Words that mark the article itself; a container with one is not judged by the marks.
 MAIN = {"article", "main", "content", "post", "story", "entry", "articlebody", "body", "page", "wrapper", "container"}
 HOLDS = {"articlebody"}
+#: Elements that hold blocks of text; stretches of one of them belong together.
+CONTAINERS = {"div", "section", "article", "main", "td"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^<>]*$", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -63,26 +65,26 @@ def _kind(name: str, attributes: str, inside: bool) -> str:
     return "main" if main else ""
 
 
-def lines(html: str) -> list[tuple[str, float, bool, bool]]:
-    """The page's lines: text, share of it in links, whether in an article, whether stripped.
+def lines(html: str) -> list[tuple[str, float, bool, bool, tuple[int, ...]]]:
+    """The page's lines: text, share of it in links, whether in an article, whether stripped, containers.
 
     What lies in a stripped element comes as one empty line for the whole element.
     """
-    out: list[tuple[str, float, bool, bool]] = []
+    out: list[tuple[str, float, bool, bool, tuple[int, ...]]] = []
     held: list[str] = []
     linked = 0
-    open_: list[tuple[str, str]] = []
+    open_: list[tuple[str, str, int]] = []
     dropped = mains = links = 0
 
     def end(gap: bool = False) -> None:
         nonlocal linked
         text = _SPACE.sub(" ", unescape("".join(held))).strip() if held else ""
         if text:
-            out.append((text, linked / max(1, sum(map(len, held))), mains > 0, False))
+            out.append((text, linked / max(1, sum(map(len, held))), mains > 0, False, tuple(x for *_, x in open_ if x)))
         held.clear()
         linked = 0
         if gap:
-            out.append(("", 0.0, mains > 0, True))
+            out.append(("", 0.0, mains > 0, True, ()))
 
     at, n = 0, len(html)
     while at < n:
@@ -103,14 +105,14 @@ def lines(html: str) -> list[tuple[str, float, bool, bool]]:
                 if name not in INLINE and not dropped:
                     end()
                 continue
-            if name in INLINE and any(x not in INLINE for x, _ in open_[where + 1 :]):
+            if name in INLINE and any(x not in INLINE for x, *_ in open_[where + 1 :]):
                 where_only = [where]
             else:
                 where_only = list(range(where, len(open_)))
             if name not in INLINE and not dropped:
                 end()
             for i in reversed(where_only):
-                shut, kind = open_.pop(i)
+                shut, kind, _ = open_.pop(i)
                 links -= shut == "a"
                 dropped -= kind == "drop"
                 mains -= kind == "main"
@@ -131,7 +133,7 @@ def lines(html: str) -> list[tuple[str, float, bool, bool]]:
                     continue
                 kind = _kind(name, m[3], mains > 0) if m[3].strip() else ""
                 kind = kind if kind == "drop" else ""
-                open_.append((name, kind))
+                open_.append((name, kind, 0))
                 dropped += kind == "drop"
                 links += name == "a"
             continue
@@ -139,11 +141,11 @@ def lines(html: str) -> list[tuple[str, float, bool, bool]]:
             end()
         if name in VOID:
             continue
-        if name in CLOSES_P and any(x == "p" for x, _ in open_) or name == "li" and open_ and open_[-1][0] == "li":
+        if name in CLOSES_P and any(x == "p" for x, *_ in open_) or name == "li" and open_ and open_[-1][0] == "li":
             what = "p" if name in CLOSES_P else "li"
-            where = max(i for i, (x, _) in enumerate(open_) if x == what)
-            if all(x in INLINE for x, _ in open_[where + 1 :]):
-                for shut, kind in open_[where:]:
+            where = max(i for i, (x, *_) in enumerate(open_) if x == what)
+            if all(x in INLINE for x, *_ in open_[where + 1 :]):
+                for shut, kind, _ in open_[where:]:
                     links -= shut == "a"
                     dropped -= kind == "drop"
                     mains -= kind == "main"
@@ -151,7 +153,7 @@ def lines(html: str) -> list[tuple[str, float, bool, bool]]:
         kind = _kind(name, m[3], mains > 0)
         if kind == "drop" and not dropped:
             end(gap=True)
-        open_.append((name, kind))
+        open_.append((name, kind, at if name in CONTAINERS else 0))
         dropped += kind == "drop"
         mains += kind == "main"
     end()
@@ -161,20 +163,38 @@ def lines(html: str) -> list[tuple[str, float, bool, bool]]:
 def main_text(html: str) -> str:
     """The text between surges and dives of the page's line lengths.
 
-    Markup and stripped elements become empty lines, and so do menus, lines that are mostly links.
-    Over what is left the lengths of ``LINES`` lines are summed; a stretch begins where the sum surges
-    and ends where it dives to nothing, and is kept whole.  In a page that names its article every
-    stretch of the article surges; in one that does not, a stretch must reach ``SURGE`` of the largest sum.
+    Markup and stripped elements become empty lines, and so do menus, lines outside an article that are
+    mostly links.  The lengths of ``LINES`` lines are summed; where the sum is largest lies the main surge,
+    and the block around it is its home: the named articles, if they hold most of the page's text,
+    else the innermost container that holds most of its stretch.  A stretch begins where the sum surges and
+    ends where it dives to nothing or leaves or enters the home.  Those of the home are kept whatever
+    their length; others if they reach ``SURGE`` of the largest sum and the home is not a named article.
     """
     found = lines(html)
-    named = any(main and text for text, _, main, _ in found)
-    size = [
-        0 if gap or (named and not main) or (share >= LINKED and not named) else len(text) for text, share, main, gap in found
-    ]
+    size = [0 if gap or (share >= LINKED and not main) else len(text) for text, share, main, gap, _ in found]
     if not any(size):
         return ""
     sums = [sum(size[i : i + LINES]) for i in range(len(size))]
-    need = 1 if named else SURGE * max(sums)
+    top = sums.index(max(sums))
+    top = max(range(top, min(top + LINES, len(size))), key=size.__getitem__)
+    first = last = top
+    while first and size[first - 1]:
+        first -= 1
+    while last + 1 < len(size) and size[last + 1]:
+        last += 1
+    named = 2 * sum(n for n, x in zip(size, found, strict=True) if x[2]) > sum(size)
+    if named:
+        home = [x[2] for x in found]
+    else:
+        inside: dict[tuple[int, ...], int] = {}
+        for i in range(first, last + 1):
+            path = found[i][4]
+            for k in range(len(path) + 1):
+                inside[path[:k]] = inside.get(path[:k], 0) + size[i]
+        holder = max((x for x, n in inside.items() if 2 * n > inside[()]), key=len)
+        # the page itself is a container of what no other one holds
+        home = [x[4][: len(holder)] == holder if holder else not x[4] for x in found]
+    need = SURGE * max(sums)
     kept: list[str] = []
     at = 0
     while at < len(size):
@@ -182,10 +202,10 @@ def main_text(html: str) -> str:
             at += 1
             continue
         end = at
-        while end < len(size) and size[end]:
+        while end < len(size) and size[end] and home[end] == home[at]:
             end += 1
         # the dive: the first line after which nothing follows
-        if max(sum(size[i : min(i + LINES, end)]) for i in range(at, end)) >= need:
+        if home[at] or not named and max(sum(size[i : min(i + LINES, end)]) for i in range(at, end)) >= need:
             kept += [found[i][0] for i in range(at, end)]
         at = end
     return "\n".join(kept)

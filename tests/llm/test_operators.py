@@ -279,6 +279,19 @@ def test_html(spark):
     assert got[None].text.count("\n") == 19999
 
 
+def test_html_blocks():
+    """Surge and dive choose the block: with and without a named article."""
+    long, more, close = "Long text. " * 55, "More text. " * 55, "Closing words. " * 7
+    page = f"<body><div id=content><p>{long}</p><div class=ad>Buy</div><p>{more}</p><div class=ad>Buy</div><p>{close}</p></div><div>Imprint</div></body>"
+    assert html.main_text(page) == "\n".join(x.strip() for x in (long, more, close))
+    # an article that holds little of the text does not decide
+    page = f"<body><article><p>Teaser of another page.</p></article><div class=ad>Buy</div><div><p>{long}</p><p>{more}</p><div class=ad>Buy</div><p>{close}</p></div></body>"
+    assert html.main_text(page) == "\n".join(x.strip() for x in (long, more, close))
+    # one that holds most of it does, and is kept with its short stretches
+    page = f"<body><div>Top story</div><article><h1>Head</h1><div class=ad>Buy</div><section><p>{long}</p></section><div class=ad>Buy</div><section><p>End.</p></section></article><div>Small print</div></body>"
+    assert html.main_text(page) == "\n".join(["Head", long.strip(), "End."])
+
+
 def test_toxicity(spark):
     rnd = random.Random(5)
     vocab = ["".join(rnd.choice("aeioubcdlmnrst") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
