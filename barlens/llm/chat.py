@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from barlens.llm.common import stored
 
-#: Turns in a block: windows and rendered parts are bounded by it, whatever one conversation holds.
+#: Turn numbers in a block, which is also a rendered part.
 BLOCK = 1024
+#: A block of more rows (turns without a number or with the same one) is cut into pieces of about so many.
+PIECE = 16384
+#: What a window holds.
+_WITHIN = ["conv_id", "block", "piece"]
 
 
 def _hash(salt: int):
@@ -17,28 +21,53 @@ def _hash(salt: int):
     )
 
 
+def _joined(rows: DataFrame, pieces: DataFrame, how: str) -> DataFrame:
+    """The rows with the further columns of their pieces."""
+    pieces = pieces.withColumnsRenamed({c: f"_{c}" for c in _WITHIN})
+    on = rows["conv_id"].eqNullSafe(pieces["_conv_id"]) & (rows["block"] == pieces["_block"]) & (rows["piece"] == pieces["_piece"])
+    return rows.join(pieces, on, how).drop(*[f"_{c}" for c in _WITHIN])
+
+
+def _in_pieces(rows: DataFrame, many: DataFrame) -> DataFrame:
+    """The rows with the ``piece`` of their block: 0, but in the blocks of ``many`` the range of places that they lie in.
+
+    There is at most one such block in ``PIECE`` rows of the table, so they are broadcast.
+    """
+    total = many.agg(F.sum("n")).head()[0]
+    if not total:
+        return rows.withColumn("piece", F.lit(0))
+    many = F.broadcast(many.select(F.col("conv_id").alias("_conv_id"), F.col("block").alias("_block")))
+    on = rows["conv_id"].eqNullSafe(many["_conv_id"]) & (rows["block"] == many["_block"])
+    ranged = rows.join(many, on, "left_semi").repartitionByRange(
+        -(-total // PIECE), "conv_id", "block", *[F.col(c).asc_nulls_last() for c in ("turn", "role", "text")]
+    )
+    # stored, as ranges are drawn anew when they are computed again
+    return rows.join(many, on, "left_anti").withColumn("piece", F.lit(0)).union(stored(ranged.withColumn("piece", F.spark_partition_id())))
+
+
 def prefixes(turns: DataFrame) -> DataFrame:
     """Every turn with its place and the rolling hash of the turns up to it.
 
-    Columns ``conv_id, block, pos, role, text, one, two, here_one, here_two``: ``one, two`` hash the
+    Columns ``conv_id, block, piece, pos, role, text, one, two, here_one, here_two``: ``one, two`` hash the
     turns up to and with this one (two 64-bit hashes of place, role and text, folded by exclusive or),
     ``here_*`` this turn alone.  Turns are ordered by turn, role, text; a row that repeats wholly is one
-    turn.  A conversation is cut into blocks of turn numbers, whose counts and hashes are carried over.
+    turn.  A conversation is cut into blocks of turn numbers and these, if they hold many rows, into pieces
+    by place; their counts and hashes are carried over.
     """
-    rows = turns.select("conv_id", "turn", "role", "text").distinct()
+    rows = turns.select("conv_id", "turn", "role", "text")
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(2**62)).cast("long"))
+    many = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n")).where(F.col("n") > PIECE)
+    rows = _in_pieces(rows.distinct(), stored(many))
     order = [F.col(c).asc_nulls_last() for c in ("turn", "role", "text")]
-    within = Window.partitionBy("conv_id", "block").orderBy(*order)
+    within = Window.partitionBy(*_WITHIN).orderBy(*order)
     rows = rows.withColumn("nth", F.row_number().over(within))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id").orderBy("block", "piece").rowsBetween(Window.unboundedPreceding, -1)
 
     def carried(frame: DataFrame, of: dict) -> DataFrame:
-        """The frame with what the earlier blocks of a conversation come to."""
-        blocks = frame.groupBy("conv_id", "block").agg(*[v(F).alias(k) for k, v in of.items()])
-        blocks = blocks.select(
-            F.col("conv_id").alias("_c"), F.col("block").alias("_b"), *[F.coalesce(v(F, k).over(earlier), F.lit(0)).alias(k) for k, v in of.items()]
-        )
-        return frame.join(blocks, frame["conv_id"].eqNullSafe(blocks["_c"]) & (frame["block"] == blocks["_b"]), "left").drop("_c", "_b")
+        """The frame with what the earlier pieces of a conversation come to."""
+        blocks = frame.groupBy(*_WITHIN).agg(*[v(F).alias(k) for k, v in of.items()])
+        blocks = blocks.select(*_WITHIN, *[F.coalesce(v(F, k).over(earlier), F.lit(0)).alias(k) for k, v in of.items()])
+        return _joined(frame, blocks, "left")
 
     rows = carried(rows, {"before": lambda f, k=None: f.sum(k) if k else f.count("*")})
     rows = rows.withColumn("pos", F.col("before") + F.col("nth")).drop("before")
@@ -74,7 +103,8 @@ def render(turns: DataFrame) -> DataFrame:
 
     A part holds the turns numbered from ``part * 1024`` on; an ordinary conversation has one.  A null
     role is written ``unknown``, a null text as nothing; a null conv_id is one conversation; turns
-    without a number come last.  An empty table gives no row; other columns are ignored.
+    without a number come last, in a part of their own.  A part of many rows is written piece by piece and
+    then joined; its text is one value, so it must stay below 2 GB.  An empty table gives no row; other columns are ignored.
     """
     prefixed = stored(prefixes(turns))
     kept = maximal(prefixed)
@@ -83,5 +113,12 @@ def render(turns: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pos", "role", "text"))),
         lambda x: F.concat(F.lit("<|im_start|>"), F.coalesce(x["role"], F.lit("unknown")), F.lit("\n"), F.coalesce(x["text"], F.lit("")), F.lit("<|im_end|>\n")),
     )
-    rows = prefixed.join(kept, prefixed["conv_id"].eqNullSafe(kept["_kept"]))
-    return rows.groupBy("conv_id", F.col("block").alias("part"), "n_turns", "copies").agg(F.array_join(marked, "").alias("rendered"))
+    pieces = prefixed.select(*_WITHIN).distinct()
+    pieces = pieces.join(kept, pieces["conv_id"].eqNullSafe(kept["_kept"])).drop("_kept")
+    of = ["conv_id", F.col("block").alias("part"), "n_turns", "copies"]
+    rows = _joined(prefixed, pieces, "inner")
+    if prefixed.where("piece > 0").isEmpty():
+        return rows.groupBy(*of).agg(F.array_join(marked, "").alias("rendered"))
+    rows = rows.groupBy("piece", *of).agg(F.array_join(marked, "").alias("rendered"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("piece", "rendered"))), lambda x: x["rendered"])
+    return rows.groupBy("conv_id", "part", "n_turns", "copies").agg(F.array_join(whole, "").alias("rendered"))

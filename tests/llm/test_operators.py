@@ -256,6 +256,25 @@ def test_chat(spark):
     assert {r.rendered for r in got if r.conv_id == 8} == {"<|im_start|>user\nfirst<|im_end|>\n", "<|im_start|>unknown\nlast<|im_end|>\n"}
 
 
+def test_chat_of_many_turns_in_one_block(spark, monkeypatch):
+    """Turns without a number and conversations without an id are cut by place: no window holds them all."""
+    monkeypatch.setattr(chat, "PIECE", 256, raising=False)
+    rows = [(None, k % 7, "user", f"n{k:04}") for k in range(3000)] + [(5, None, None if k % 9 == 0 else "user", f"t{k:04}") for k in range(2000)]
+    rows += [(6, None, "user", f"t{k:04}") for k in range(40)] + [(7, 0, "user", "x"), (7, 1, "user", None)] + rows[:50]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    placed = chat.prefixes(frame)
+    held = placed.groupBy(*[c for c in ("conv_id", "block", "piece") if c in placed.columns]).count().agg({"count": "max"}).head()[0]
+    assert held <= 3 * 256
+    places = Counter((r.conv_id, r.pos) for r in placed.collect())
+    sizes = {None: 3000, 5: 2000, 6: 40, 7: 2}
+    assert places == Counter((c, k + 1) for c, n in sizes.items() for k in range(n))
+    got = chat.render(frame).collect()
+    for c, n in sizes.items():
+        mine = sorted({r for r in rows if r[0] == c}, key=lambda r: tuple(_none_last(x) for x in r[1:]))
+        want = "".join(f"<|im_start|>{r[2] or 'unknown'}\n{r[3] or ''}<|im_end|>\n" for r in mine)
+        assert [(r.n_turns, r.copies, r.rendered) for r in got if r.conv_id == c] == [(n, 1, want)]
+
+
 PAGES = [
     ("<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><article><h1>Head &amp; line</h1><p>One\n two<b>three</b>.<br><p>Four</article>"
      "<footer>&copy; foot</footer>", "Head & line\nOne twothree.\nFour"),
