@@ -46,3 +46,27 @@ kept AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS copies FROM r
 SELECT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS part, n_turns, copies,
   string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
 FROM kept JOIN placed USING (conv_id) GROUP BY ALL"""
+
+SQL["op11_divergence"] = r"""
+WITH docs AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+spread AS (SELECT lang, source, unnest(terms) AS term FROM docs),
+held AS (SELECT lang, source, unnest(list_distinct(terms)) AS term FROM docs),
+kept AS (SELECT lang, term FROM held GROUP BY ALL HAVING count(*) >= 3),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM spread JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + v.v) AS p
+  FROM totals g JOIN kept k ON g.lang = k.lang JOIN v ON v.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+langs AS (SELECT c.lang, c.term, 1 + 1000000000::HUGEINT * (c.n + 1) // (t.total + v.v) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL) c
+  JOIN (SELECT lang, sum(total)::HUGEINT AS total FROM totals GROUP BY lang) t USING (lang) JOIN v USING (lang)),
+pair_sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT g.lang, g.source, h.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN pair_sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source),
+terms AS (SELECT s.lang, s.source, s.term AS item, CAST((s.p - l.q) * (s.p - l.q) // l.q AS BIGINT) AS value FROM shares s JOIN langs l USING (lang, term) WHERE s.n > 0 AND s.p > l.q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""

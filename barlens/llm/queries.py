@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm import chat, decontamination, html, lines, mixing, neighbours, oracle, simhash, substrings, tokens, toxicity
+from barlens.llm import chat, decontamination, divergence, html, lines, mixing, neighbours, oracle, packing, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair and term reports of every group of lang and source."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of 2,048 ids, each with a checksum of its ids."""
+    cut = packing.pack(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+_QUERIES = (
+    op1_decontamination, op2_lines, op3_substrings, op4_token_counts, op5_neighbours, op6_chat, op7_mixing,
+    op8_simhash, op9_html, op10_toxicity, op11_divergence, op12_packing,
+)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_lines, op3_substrings, op4_token_counts, op5_neighbours, op6_chat, op7_mixing, op8_simhash, op9_html, op10_toxicity)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def all_sql() -> dict[str, str]:
