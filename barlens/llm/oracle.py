@@ -70,3 +70,26 @@ terms AS (SELECT s.lang, s.source, s.term AS item, CAST((s.p - l.q) * (s.p - l.q
 ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
   UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+SQL["op13_prefix_trie"] = f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, conv_id - conv_id % 20 AS base, count(*) AS n FROM turns GROUP BY conv_id),
+bits AS (SELECT conv_id, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda k: (ascii(c) >> k) & 1))) AS bits FROM sizes),
+codes AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, bits), lambda s, b: xor(s >> 1, 3988292384 * (xor(s, b) & 1))), 4294967295) % 4 AS h FROM bits),
+convs AS (SELECT s.conv_id, s.base, h, least(h, coalesce(b.n, 0)) AS taken FROM sizes s JOIN codes USING (conv_id) LEFT JOIN sizes b ON b.conv_id = s.base),
+rebuilt AS (SELECT c.conv_id, pos AS depth, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT conv_id, pos - h + taken, role, text FROM convs JOIN turns USING (conv_id) WHERE pos > h),
+paths AS (SELECT conv_id, depth, len(regexp_extract_all(text, {WORD})) AS words,
+    md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+nodes AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM paths GROUP BY depth, k),
+steps AS (SELECT DISTINCT p.depth, p.k, q.k AS parent FROM paths p JOIN paths q ON q.conv_id = p.conv_id AND q.depth = p.depth - 1),
+kids AS (SELECT depth - 1 AS depth, parent AS k, count(*) AS n FROM steps GROUP BY ALL),
+wide AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN kids c USING (depth, k)),
+below AS (SELECT p.depth, p.k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * v.words) AS saved
+  FROM wide v JOIN paths p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.depth, p.k),
+last AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+ends AS (SELECT depth, k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest FROM paths JOIN last USING (conv_id, depth) GROUP BY depth, k)
+SELECT w.conv_id, w.depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM wide w JOIN below USING (depth, k) LEFT JOIN ends USING (depth, k) LEFT JOIN steps s USING (depth, k) LEFT JOIN nodes q ON q.depth = w.depth - 1 AND q.k = s.parent"""

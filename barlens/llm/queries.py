@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm import chat, decontamination, divergence, html, lines, mixing, neighbours, oracle, packing, simhash, substrings, tokens, toxicity
+from barlens.llm import chat, decontamination, divergence, html, lines, mixing, neighbours, oracle, packing, prefixes, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,9 +78,14 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie over all conversations, rebuilt as branches of their family's first."""
+    return prefixes.trie(_table(spark, sf_dir, "conversations"), heads=prefixes.HEADS).drop("node")
+
+
 _QUERIES = (
     op1_decontamination, op2_lines, op3_substrings, op4_token_counts, op5_neighbours, op6_chat, op7_mixing,
-    op8_simhash, op9_html, op10_toxicity, op11_divergence, op12_packing,
+    op8_simhash, op9_html, op10_toxicity, op11_divergence, op12_packing, op13_prefix_trie,
 )
 
 
