@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import recurrence
@@ -59,19 +59,62 @@ def rolling_slope(column: str, window: int, position: str = "_pos") -> Column:
     )
 
 
-def percentile_of_previous(column: str, window: int, least: int) -> Column:
-    """100 x share of the previous ``window`` known values that are <= today's.
+def _count_up_to(ordered: Column, limit: Column, room: int) -> Column:
+    """How many values of a sorted array are <= limit: a binary search by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(room.bit_length()))])
 
-    Values equal up to rounding noise (one part in 1e12) count as equal, so that the
-    result does not depend on the order in which a spread was summed.
+    def step(found: Column, s: Column) -> Column:
+        return F.when(F.get(ordered, found + s - 1) <= limit, found + s).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def percentiles_of_previous(df: DataFrame, ranks: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """Add ``{name: (column, window, least)}``: 100 x share of the previous ``window`` known values that are <= today's.
+
+    NULL below ``least`` previous values.  Values equal up to rounding noise (one part in 1e12) count as equal, so
+    that the result does not depend on the order in which a spread was summed.
+
+    A window is cut into blocks of about the square root of its sessions, the same for all: ``size`` divides every
+    window.  The blocks that lie wholly in it are sorted as one run, once a block, and searched by halving; only the
+    two blocks at its ends are scanned.  So a session costs about a tenth of comparing all of its window.
     """
-    x = F.col(column)
-    earlier = F.collect_list(x).over(before(era_sessions(), window))
-    # the limit is bound once per session, not computed per earlier value
-    limit = F.array(x + F.abs(x) * 1e-12)
-    not_above = F.transform(limit, lambda top: F.size(F.filter(earlier, lambda v: v <= top)))[0]
-    known = x.isNotNull() & (F.size(earlier) >= least)
-    return F.when(known, F.lit(100.0) * (not_above / F.size(earlier)))
+    kept = df.columns
+    windows = [n for _, n, _ in ranks.values()]
+    common, widest = math.gcd(*windows), math.isqrt(max(windows))
+    size = max(d for d in range(1, widest + 1) if common % d == 0)
+    df = df.withColumn("_at", F.row_number().over(era_sessions()) - 1)
+    df = df.withColumn("_block", F.expr(f"_at div {size}"))
+    blocks = Window.partitionBy("ticker").orderBy("_block")
+    own = blocks.rangeBetween(0, 0)
+    opens = F.col("_at") % size == 0
+
+    def placed(x: Column) -> Column:
+        return F.collect_list(F.when(x.isNotNull(), F.struct(F.col("_at").alias("at"), x.alias("x"))))
+
+    runs, ends = {}, {}
+    for name, (column, window, _) in ranks.items():
+        back, x = window // size, F.col(column)
+        # frames of blocks: they move, and are gathered, once a block
+        runs[f"_run_{name}"] = F.collect_list(x).over(blocks.rangeBetween(1 - back, -1))
+        ends[f"_old_{name}"] = placed(x).over(blocks.rangeBetween(-back, -back))
+        ends[f"_own_{name}"] = placed(x).over(own)
+    df = df.withColumns(runs).withColumns({c: F.when(opens, F.sort_array(c)) for c in runs})
+    df = df.withColumns({c: F.first(c, ignorenulls=True).over(own) for c in runs} | ends)
+
+    def share(name: str) -> Column:
+        column, window, least = ranks[name]
+        x, at = F.col(column), F.col("_at")
+        run, old, mine = (F.col(f"_{k}_{name}") for k in ("run", "old", "own"))
+        old = F.filter(old, lambda v: v["at"] >= at - window)
+        mine = F.filter(mine, lambda v: v["at"] < at)
+        limit = x + F.abs(x) * 1e-12
+        edges = [F.size(F.filter(side, lambda v: v["x"] <= limit)) for side in (old, mine)]
+        known = F.size(run) + F.size(old) + F.size(mine)
+        below = _count_up_to(run, limit, window) + edges[0] + edges[1]
+        return F.when(x.isNotNull() & (known >= least), F.lit(100.0) * (below / known))
+
+    return df.select(*kept, *[share(name).alias(name) for name in ranks])
 
 
 def true_range(previous_close: Column) -> Column:
@@ -124,7 +167,7 @@ def add_recursive(df: DataFrame) -> DataFrame:
     df = df.withColumns(
         {f"rsi{p}": rsi_from(F.col(f"_gain{p}"), F.col(f"_loss{p}")) for p in RSI_PERIODS}
         | {
-            "macd": F.col("_fast") - F.col("_slow"),
+            "macd": recurrence.apart(F.col("_fast"), F.col("_slow")),
             "plus_di": per(100 * F.col("_s_plus"), F.col("_s_tr")),
             "minus_di": per(100 * F.col("_s_minus"), F.col("_s_tr")),
         }
@@ -134,7 +177,7 @@ def add_recursive(df: DataFrame) -> DataFrame:
     df = recurrence.smooth(
         df, {"macd_signal": ("macd", MACD_SIGNAL)}, {"adx": ("_dx", ATR_PERIOD)}
     )
-    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).select(
+    return df.withColumn("macd_hist", recurrence.apart(F.col("macd"), F.col("macd_signal"), F.col("close"))).select(
         *kept,
         "true_range",
         *[f"ema{n}" for n in EMA_SPANS],
@@ -221,15 +264,15 @@ def add_second_order(df: DataFrame) -> DataFrame:
     )
     width = F.col("bb_upper") - F.col("bb_lower")
     df = df.withColumns({"bb_pct_b": per(close - F.col("bb_lower"), width), "bb_width": per(width, mid)})
-    return df.withColumns(
+    df = df.withColumns(
         {
             "bb_width_change": growth(F.col("bb_width"), F.lag("bb_width", 5).over(w)),
-            "bb_width_percentile": percentile_of_previous("bb_width", 126, 60),
-            "atr_pct_percentile": percentile_of_previous("atr_pct", 252, 126),
             "obv_slope10": per(rolling_slope("obv", 10), F.col("mavol10")),
             "obv_slope20": per(rolling_slope("obv", 20), F.col("mavol20")),
         }
     )
+    ranks = {"bb_width_percentile": ("bb_width", 126, 60), "atr_pct_percentile": ("atr_pct", 252, 126)}
+    return percentiles_of_previous(df, ranks)
 
 
 def compute_indicators(adjusted: DataFrame) -> DataFrame:

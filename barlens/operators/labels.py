@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import before, era_sessions, full, upto
 from ..functions.nulls import all_of, at_least, every, first_match, missing, points, yes
+from ..functions.recurrence import apart
 from ..vocab import (
     ADX,
     BAND,
@@ -93,14 +94,14 @@ def rsi_relationships() -> dict[str, Column]:
     recent = before(era_sessions(), 5)
     low, high = F.min(r6).over(recent), F.max(r6).over(recent)
     return {
-        "rsi_cross": recent_cross(r6 - F.col("rsi14")),
+        "rsi_cross": recent_cross(apart(r6, F.col("rsi14"))),
         "rsi_recovering_oversold": every(low < 30, r6 >= low + 10),
         "rsi_losing_extended": every(high >= 80, r6 <= high - 10),
     }
 
 
 def _hist_change(sessions: int) -> Column:
-    return F.col("macd_hist") - F.lag("macd_hist", sessions).over(era_sessions())
+    return apart(F.col("macd_hist"), F.lag("macd_hist", sessions).over(era_sessions()), F.col("close"))
 
 
 def label_macd() -> Column:
@@ -114,22 +115,22 @@ def label_macd() -> Column:
 
 
 def macd_details() -> dict[str, Column]:
-    h, dif = F.col("macd_hist"), F.col("macd")
+    h, dif, change = F.col("macd_hist"), F.col("macd"), _hist_change(3)
     earlier = F.lag("macd_hist", 3).over(era_sessions())
     same = F.signum(h) == F.signum(earlier)
     return {
-        "macd_cross": recent_cross(dif - F.col("macd_signal")),
+        "macd_cross": recent_cross(h),
         "macd_hist_trend": first_match(
             [
-                (all_of(same, F.abs(h) > F.abs(earlier)), "expanding"),
-                (all_of(same, F.abs(h) < F.abs(earlier)), "contracting"),
+                (all_of(same, change != 0, F.abs(h) > F.abs(earlier)), "expanding"),
+                (all_of(same, change != 0, F.abs(h) < F.abs(earlier)), "contracting"),
             ],
             "",
         ),
         "macd_zero_context": first_match(
             [
-                (all_of(dif < 0, h - earlier > 0), "below zero but improving"),
-                (all_of(dif > 0, h - earlier < 0), "above zero but deteriorating"),
+                (all_of(dif < 0, change > 0), "below zero but improving"),
+                (all_of(dif > 0, change < 0), "above zero but deteriorating"),
             ],
             "",
         ),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import era_sessions
 from ..functions.nulls import every, first_match, growth, items, yes
+from ..functions.recurrence import apart
 from ..vocab import NO_STRUCTURE, STATES
 from .labels import crossed
 from .summaries import ranked
@@ -188,7 +189,7 @@ def structure_states(df: DataFrame) -> DataFrame:
     c, a, ratio = F.col("close"), F.col("atr"), F.col("ta_volume_ratio")
     e9, e21 = F.col("ema9"), F.col("ema21")
     was, was9, was21 = (F.lag(x).over(w) for x in ("close", "ema9", "ema21"))
-    up, down = crossed(e9 - e21)
+    up, down = crossed(apart(e9, e21))
     breakout, breakdown = yes(c > F.col("prior_high20")), yes(c < F.col("prior_low20"))
     pullback = every(e9 > e21, F.col("ema21_slope") > 0, F.col("ta_return_3d") < 0, c > e21)
     gap9, gap21 = F.try_divide(F.abs(c - e9), a), F.try_divide(F.abs(c - e21), a)
@@ -196,8 +197,8 @@ def structure_states(df: DataFrame) -> DataFrame:
     at9 = pullback & yes(gap9 <= NEAR_ATR) & ~nearer21
     at21 = pullback & yes(gap21 <= NEAR_ATR) & ~at9
     room = F.col("prior_high20") - c
-    rsi_change = F.col("rsi6") - F.lag("rsi6", 3).over(w)
-    hist_change = F.col("macd_hist") - F.lag("macd_hist", 3).over(w)
+    rsi_change = apart(F.col("rsi6"), F.lag("rsi6", 3).over(w))
+    hist_change = apart(F.col("macd_hist"), F.lag("macd_hist", 3).over(w), c)
     tests = {
         "breakout_volume": every(breakout, ratio >= HEAVY_VOLUME),
         "breakout_normal": every(breakout, ratio >= WEAK_VOLUME, ratio < HEAVY_VOLUME),

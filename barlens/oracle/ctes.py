@@ -39,6 +39,12 @@ def full(agg: str, x: str, frame: str, n: int) -> str:
     return f"CASE WHEN count({x}) OVER {frame} = {n} THEN {agg}({x}) OVER {frame} END"
 
 
+def apart(x: str, y: str, size: str = "") -> str:
+    """The difference, 0 where it is rounding noise: one part in 1e11 of the size."""
+    size = size or f"greatest(abs({x}), abs({y}))"
+    return f"CASE WHEN abs({x} - {y}) <= 1e-11 * abs({size}) THEN 0e0 ELSE {x} - {y} END"
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -282,7 +288,7 @@ _rsi = lambda p: (
 CTES["level1"] = f"""
 SELECT *, CASE WHEN plus_di + minus_di > 0 THEN 100 * abs(plus_di - minus_di) / (plus_di + minus_di) END AS dx
 FROM (SELECT s.*, {", ".join(f"CASE WHEN pos >= {s} THEN e{s} END AS ema{s}" for s in (9, 21, 50, 200, 250))},
-  {_rsi(6)}, {_rsi(14)}, CASE WHEN pos >= 26 THEN e12 - e26 END AS macd, atr,
+  {_rsi(6)}, {_rsi(14)}, CASE WHEN pos >= 26 THEN {apart("e12", "e26")} END AS macd, atr,
   CASE WHEN strx > 0 THEN 100 * spdm / strx END AS plus_di, CASE WHEN strx > 0 THEN 100 * smdm / strx END AS minus_di
   FROM seeded s JOIN avg_rec USING (ticker, pos))"""
 CTES["dx_seed"] = f"""
@@ -306,7 +312,7 @@ _ext = ", ".join(
 )
 CTES["level2"] = f"""
 SELECT t.* EXCLUDE (macd_signal), CASE WHEN pos >= 34 THEN macd_signal END AS macd_signal,
-  macd - CASE WHEN pos >= 34 THEN macd_signal END AS macd_hist,
+  CASE WHEN pos >= 34 THEN {apart("macd", "macd_signal", "close")} END AS macd_hist,
   {", ".join(f"ema{n} / lag(ema{n}, 3) OVER ({W}) - 1 AS ema{n}_slope" for n in (9, 21, 50))},
   {_ret}, {_rel}, {_ext}, {full("max", "high", prev(20), 20)} AS prior_high20, {full("min", "low", prev(20), 20)} AS prior_low20,
   atr / close * 100 AS atr_pct, (close - lag(close, 5) OVER ({W})) / CASE WHEN atr <> 0 THEN atr END AS move_5d_atr,
@@ -348,7 +354,7 @@ SELECT *, bb_width / lag(bb_width, 5) OVER ({W}) - 1 AS bb_width_change,
 FROM level4"""
 
 # ---- labels --------------------------------------------------------------------------------
-GAPS = {"ema": "ema9 - ema21", "rsi": "rsi6 - rsi14", "macd": "macd - macd_signal"}
+GAPS = {"ema": apart("ema9", "ema21"), "rsi": apart("rsi6", "rsi14"), "macd": "macd_hist"}
 
 
 def _cross(name: str) -> str:
@@ -372,7 +378,7 @@ CTES["lab_in"] = "SELECT *, " + ", ".join(
     f"{gap} AS {n}_gap, " + ", ".join(f"lag({gap}, {k}) OVER ({W}) AS {n}_g{k}" for k in (1, 2, 3))
     for n, gap in GAPS.items()
 ) + f""",
-  macd_hist - lag(macd_hist, 1) OVER ({W}) AS d1, macd_hist - lag(macd_hist, 3) OVER ({W}) AS d3,
+  {apart("macd_hist", f"lag(macd_hist, 1) OVER ({W})", "close")} AS d1, {apart("macd_hist", f"lag(macd_hist, 3) OVER ({W})", "close")} AS d3,
   lag(macd_hist, 3) OVER ({W}) AS h3, min(rsi6) OVER {prev(5)} AS rsi_low5, max(rsi6) OVER {prev(5)} AS rsi_high5,
   min(bb_width_percentile) OVER {last(10)} AS squeeze10,
   CASE WHEN pos >= 5 THEN sum(CASE WHEN bb_pct_b >= 0.9 THEN 1 ELSE 0 END) OVER {last(5)} END AS top_days,
@@ -383,7 +389,7 @@ CTES["lab_in"] = "SELECT *, " + ", ".join(
   (rel_5d / (CASE WHEN rel_daily_sigma > 0 THEN rel_daily_sigma END * sqrt(5e0))
    + rel_7d / (CASE WHEN rel_daily_sigma > 0 THEN rel_daily_sigma END * sqrt(7e0))) / 2 AS relative_strength_score,
   lag(close) OVER ({W}) AS was, lag(ema9) OVER ({W}) AS was9, lag(ema21) OVER ({W}) AS was21,
-  rsi6 - lag(rsi6, 3) OVER ({W}) AS rsi6_change_3d
+  {apart("rsi6", f"lag(rsi6, 3) OVER ({W})")} AS rsi6_change_3d
 FROM ind"""
 CTES["lab"] = f"""
 SELECT *, CASE WHEN close IS NULL OR ema9 IS NULL OR ema21 IS NULL OR ema9_slope IS NULL OR ema21_slope IS NULL THEN 'n/a'
@@ -402,8 +408,8 @@ SELECT *, CASE WHEN close IS NULL OR ema9 IS NULL OR ema21 IS NULL OR ema9_slope
   CASE WHEN macd_hist IS NULL OR d3 IS NULL THEN 'n/a' WHEN d1 > 0 AND d3 > 0 THEN {q(MACD.improving)}
   WHEN d1 < 0 AND d3 < 0 THEN {q(MACD.weakening)} WHEN macd_hist >= 0 THEN {q(MACD.positive)} ELSE {q(MACD.negative)} END AS macd_state,
   {_cross("macd")} AS macd_cross,
-  CASE WHEN sign(macd_hist) = sign(h3) AND abs(macd_hist) > abs(h3) THEN 'expanding'
-  WHEN sign(macd_hist) = sign(h3) AND abs(macd_hist) < abs(h3) THEN 'contracting' ELSE '' END AS macd_hist_trend,
+  CASE WHEN sign(macd_hist) = sign(h3) AND d3 <> 0 AND abs(macd_hist) > abs(h3) THEN 'expanding'
+  WHEN sign(macd_hist) = sign(h3) AND d3 <> 0 AND abs(macd_hist) < abs(h3) THEN 'contracting' ELSE '' END AS macd_hist_trend,
   CASE WHEN macd < 0 AND d3 > 0 THEN 'below zero but improving'
   WHEN macd > 0 AND d3 < 0 THEN 'above zero but deteriorating' ELSE '' END AS macd_zero_context,
   CASE WHEN ta_return_2d IS NULL OR ta_return_3d IS NULL OR ta_return_5d IS NULL OR ta_return_7d IS NULL OR move_5d_atr IS NULL THEN 'n/a'

@@ -839,9 +839,8 @@ def rolling_slope(x: Inputs) -> DataFrame:
 
 @query()
 def percentile_of_previous(x: Inputs) -> DataFrame:
-    return x.adjusted.select(
-        "ticker", "date", indicators.percentile_of_previous("volume", 252, 126).alias("percentile")
-    )
+    df = x.adjusted.select("ticker", "date", "era", "volume")
+    return indicators.percentiles_of_previous(df, {"percentile": ("volume", 252, 126)}).select("ticker", "date", "percentile")
 
 
 register_columns(
@@ -908,7 +907,7 @@ register_columns(
 
 def _gap_query(name: str, build):
     def run(x: Inputs) -> DataFrame:
-        gap = F.col("ema9") - F.col("ema21")
+        gap = recurrence.apart(F.col("ema9"), F.col("ema21"))
         return x.indicators.select("ticker", "date", *build(gap))
 
     REGISTRY[name] = (run, 6)
