@@ -36,6 +36,18 @@ def walk(spark, n: int = 400, seed: int = 3, ticker: str = "T", shocks: dict | N
     return spark.createDataFrame(rows, BARS)
 
 
+def aged_ema_loop(x, span):
+    """An exponential average whose older part ages at missing values too."""
+    a, y, weight, seen, out = 2 / (span + 1), np.nan, 1.0, 0, []
+    for v in x:
+        weight *= 1 - a
+        if not np.isnan(v):
+            y = v if np.isnan(y) else (weight * y + a * v) / (weight + a)
+            weight, seen = 1.0, seen + 1
+        out.append(y if seen >= span else np.nan)
+    return np.array(out)
+
+
 def ema_loop(x: np.ndarray, span: int) -> np.ndarray:
     out, a = np.full(len(x), np.nan), 2 / (span + 1)
     y = x[0]

@@ -6,6 +6,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barlens.functions import recurrence
@@ -15,7 +16,7 @@ from barlens.operators import cleaning, daily_stats, evidence, indicators, label
 from barlens.params import EventParams, ParameterError, Params, StatisticsParams
 from barlens.plans import flows
 from barlens.vocab import STATES
-from helpers import column, ema_loop, walk, weekdays, wilder_loop
+from helpers import aged_ema_loop, column, ema_loop, walk, weekdays, wilder_loop
 
 
 def test_recursive_averages_equal_loops(spark):
@@ -27,6 +28,56 @@ def test_recursive_averages_equal_loops(spark):
         np.testing.assert_allclose(column(out, name), expected, rtol=1e-11)
 
 
+@pytest.mark.parametrize("span", [2, 3, 5, 9, 26, 250])
+def test_average_over_holes_equals_loop(spark, span):
+    """Weights go by position: missing days, a missing start, a run of missing days longer than an era."""
+    bars = walk(spark, 4200).withColumn("era", era())
+    day = F.datediff("date", F.lit("1970-01-01"))
+    gone = (F.dayofmonth("date") % 7 == 0) | (day % 97).between(20, 31) | (F.year("date") == 2012)
+    first = bars.agg(F.min("date")).head()[0]
+    gone = gone | (F.datediff("date", F.lit(first)) < 12) | F.datediff("date", F.lit(first)).between(1500, 3900)
+    df = bars.withColumn("v", F.when(~gone, F.col("close")))
+    out = recurrence.ema(df, {"e": ("v", span)}).cache()
+    np.testing.assert_allclose(column(out, "e"), aged_ema_loop(column(out, "v"), span), rtol=1e-10)
+
+
+def test_flat_closes_change_nothing(spark):
+    """Changes of recursive averages are exactly 0 where closes stand still."""
+    days = weekdays(120)
+    rows = [("A", d, 10.0 + (i * 37 % 11) * (i < 100)) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "ticker string, date date, close double")
+    df = df.select("*", *[F.col("close").alias(c) for c in ("open", "high", "low")], F.lit(1.0).alias("volume"))
+    out = indicators.add_recursive(df.withColumn("era", era()))
+    w = Window.partitionBy("ticker").orderBy("era", "date")
+    moved = out.withColumn("moved", recurrence.apart(F.col("rsi6"), F.lag("rsi6", 3).over(w))).where(F.col("date") > days[104])
+    assert {r.moved for r in moved.collect()} == {0.0}
+
+
+@pytest.mark.parametrize("ranks", [{"p": ("v", 252, 126), "q": ("w", 126, 60)}, {"p": ("v", 7, 1)}, {"p": ("w", 30, 5)}])
+def test_percentiles_equal_loop(spark, ranks):
+    bars = walk(spark, 700).withColumn("era", era())
+    v = F.when(F.dayofmonth("date") % 5 != 0, F.round("close", 0))
+    df = bars.withColumns({"v": v, "w": F.col("volume")}).union(bars.limit(40).withColumns({"v": v, "w": F.col("volume")}).withColumn("ticker", F.lit("Z")))
+    out = indicators.percentiles_of_previous(df, ranks)
+    for ticker in ("Z", bars.head().ticker):
+        one = out.where(F.col("ticker") == ticker).cache()
+        for name, (source, window, least) in ranks.items():
+            x = column(one, source)
+            want = []
+            for i, today in enumerate(x):
+                earlier = x[max(0, i - window) : i]
+                earlier = earlier[~np.isnan(earlier)]
+                want.append(100 * (earlier <= today).mean() if not np.isnan(today) and len(earlier) >= least else np.nan)
+            np.testing.assert_allclose(column(one, name), want)
+
+
+def test_percentiles_gather_once_a_block(spark):
+    """No frame of sessions is gathered: only frames of blocks, which move once a block."""
+    bars = walk(spark, 60).withColumn("era", era())
+    plan = indicators.percentiles_of_previous(bars, {"p": ("close", 252, 126)})._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "specifiedwindowframe(RowFrame, -252" not in plan and "specifiedwindowframe(RangeFrame, -17, -1)" in plan
+
+
 def test_rsi_extremes(spark):
     days = weekdays(40)
     rows = [("UP", d, 10.0 + i) for i, d in enumerate(days)] + [("FLAT", d, 5.0) for d in days]
