@@ -7,6 +7,7 @@ Names that would clash with the statistics layer carry the prefix ``ta_``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,11 @@ def _count_up_to(ordered: Column, limit: Column, room: int) -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def percentiles_of_previous(df: DataFrame, ranks: dict[str, tuple[str, int, int]]) -> DataFrame:
     """Add ``{name: (column, window, least)}``: 100 x share of the previous ``window`` known values that are <= today's.
 
@@ -76,8 +82,9 @@ def percentiles_of_previous(df: DataFrame, ranks: dict[str, tuple[str, int, int]
     that the result does not depend on the order in which a spread was summed.
 
     A window is cut into blocks of about the square root of its sessions, the same for all: ``size`` divides every
-    window.  The blocks that lie wholly in it are sorted as one run, once a block, and searched by halving; only the
-    two blocks at its ends are scanned.  So a session costs about a tenth of comparing all of its window.
+    window.  The blocks that lie wholly in it are gathered and sorted as one run, once a block, and searched by
+    halving; only the two blocks at its ends are scanned.  A block's first session ranks the whole block, so the
+    gathered values go no further than that row.
     """
     kept = df.columns
     windows = [n for _, n, _ in ranks.values()]
@@ -87,34 +94,42 @@ def percentiles_of_previous(df: DataFrame, ranks: dict[str, tuple[str, int, int]
     df = df.withColumn("_block", F.expr(f"_at div {size}"))
     blocks = Window.partitionBy("ticker").orderBy("_block")
     own = blocks.rangeBetween(0, 0)
-    opens = F.col("_at") % size == 0
 
     def placed(x: Column) -> Column:
-        return F.collect_list(F.when(x.isNotNull(), F.struct(F.col("_at").alias("at"), x.alias("x"))))
+        """A block's values in order; NaN, which is above every limit, for a missing one."""
+        return F.collect_list(F.struct(F.col("_at").alias("at"), F.coalesce(x, F.lit(math.nan)).alias("x")))
 
-    runs, ends = {}, {}
+    gathered = {}
     for name, (column, window, _) in ranks.items():
         back, x = window // size, F.col(column)
         # frames of blocks: they move, and are gathered, once a block
-        runs[f"_run_{name}"] = F.collect_list(x).over(blocks.rangeBetween(1 - back, -1))
-        ends[f"_old_{name}"] = placed(x).over(blocks.rangeBetween(-back, -back))
-        ends[f"_own_{name}"] = placed(x).over(own)
-    df = df.withColumns(runs).withColumns({c: F.when(opens, F.sort_array(c)) for c in runs})
-    df = df.withColumns({c: F.first(c, ignorenulls=True).over(own) for c in runs} | ends)
-
-    def share(name: str) -> Column:
-        column, window, least = ranks[name]
-        x, at = F.col(column), F.col("_at")
-        run, old, mine = (F.col(f"_{k}_{name}") for k in ("run", "old", "own"))
-        old = F.filter(old, lambda v: v["at"] >= at - window)
-        mine = F.filter(mine, lambda v: v["at"] < at)
-        limit = x + F.abs(x) * 1e-12
-        edges = [F.size(F.filter(side, lambda v: v["x"] <= limit)) for side in (old, mine)]
-        known = F.size(run) + F.size(old) + F.size(mine)
-        below = _count_up_to(run, limit, window) + edges[0] + edges[1]
-        return F.when(x.isNotNull() & (known >= least), F.lit(100.0) * (below / known))
-
-    return df.select(*kept, *[share(name).alias(name) for name in ranks])
+        gathered[f"_run_{name}"] = F.collect_list(x).over(blocks.rangeBetween(1 - back, -1))
+        gathered[f"_old_{name}"] = placed(x).over(blocks.rangeBetween(-back, -back))
+        gathered[f"_own_{name}"] = placed(x).over(own)
+    df = df.withColumns(gathered)
+
+    def ranked(name: str) -> Column:
+        """The ranks of a block's sessions in order."""
+        _, window, least = ranks[name]
+        run = F.sort_array(f"_run_{name}")
+        old, mine = (F.transform(F.sort_array(f"_{k}_{name}"), lambda v: v["x"]) for k in ("old", "own"))
+
+        def rank(block: Column, x: Column, nth: Column) -> Column:
+            ends = F.concat(F.slice(block["old"], nth + 1, F.lit(size)), F.slice(block["own"], F.lit(1), nth))
+
+            def of(v: Column) -> Column:
+                known = F.size(block["run"]) + F.size(F.array_remove(v["ends"], math.nan))
+                up_to = F.size(F.filter(v["ends"], lambda e: e <= v["limit"])) + _count_up_to(block["run"], v["limit"], window)
+                return F.when(~F.isnan(x) & (known >= least), F.lit(100.0) * (up_to / known))
+
+            return _let(F.struct(ends.alias("ends"), (x + F.abs(x) * 1e-12).alias("limit")), of)
+
+        whole = F.struct(run.alias("run"), old.alias("old"), mine.alias("own"))
+        return F.when(F.col("_at") % size == 0, _let(whole, lambda b: F.transform(b["own"], lambda x, nth: rank(b, x, nth))))
+
+    df = df.select(*kept, "_at", "_block", *[ranked(n).alias(f"_ranks_{n}") for n in ranks])
+    df = df.withColumns({f"_ranks_{n}": F.first(f"_ranks_{n}", ignorenulls=True).over(own) for n in ranks})
+    return df.select(*kept, *[F.get(f"_ranks_{n}", (F.col("_at") % size).cast("int")).alias(n) for n in ranks])
 
 
 def true_range(previous_close: Column) -> Column:
