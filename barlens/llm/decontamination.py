@@ -25,6 +25,8 @@ COSINE, VERBATIM, PARAPHRASE = 0.45, 0.75, 0.5
 ANSWER, ANSWERED = 8, 0.5
 #: Benchmark passages per model: what is collected and broadcast is bounded by it.
 ITEMS = 2000
+#: Passages, and about how many of their words, that a task works on at once.
+ROWS, ENTRIES = 2048, 16_384
 
 #: ASCII letters to lower case, other ASCII characters but digits to spaces; further bytes stay.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -192,11 +194,7 @@ def _gram_times(shape: tuple[int, int], start: Callable[[], np.ndarray]) -> Call
                     alone = np.bincount(word[~many], minlength=shape[0])
                     total += alone[:, None].astype(np.float32) * thin
                     row, word, value = row[many], word[many], value[many]
-                # rows come in order; a slice of them at a time bounds the dense part
-                cuts = np.searchsorted(row, np.arange(0, r["n"] + 4096, 4096))
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if a == b:
-                        continue
+                for a, b in _slices(row):
                     used = True
                     local, w, v = row[a:b] - row[a], word[a:b], value[a:b, None]
                     first = np.flatnonzero(np.diff(local, prepend=-1))
@@ -211,6 +209,17 @@ def _gram_times(shape: tuple[int, int], start: Callable[[], np.ndarray]) -> Call
     return run
 
 
+def _slices(row: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of whole rows, at most ``ROWS`` of them and about ``ENTRIES`` entries, of entries in order of row.
+
+    They bound both dense parts: entries by directions, and rows by items.
+    """
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    full = np.searchsorted(starts, np.arange(0, len(row), ENTRIES))
+    cuts = np.unique(np.concatenate([starts[::ROWS], starts[full[full < len(starts)]], [len(row)]]))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 @dataclass
 class Model:
     """What the search needs: vocabulary, weights, latent directions, and the items in that space."""
@@ -293,10 +302,7 @@ def found_in(texts: list[bytes], model: Model) -> list[dict]:
     rows, row, word, value = rows[able], number[row[keep]], word[keep], value[keep]
     words: dict[int, list[bytes]] = {}
     best: dict[tuple, dict] = {}
-    cuts = np.searchsorted(row, np.arange(0, len(rows) + 4096, 4096))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if a == b:
-            continue
+    for a, b in _slices(row):
         first = np.flatnonzero(np.diff(row[a:b], prepend=-1))
         latent = np.add.reduceat(model.axes[word[a:b]] * value[a:b, None].astype(np.float32), first, axis=0)
         rest = np.sqrt(np.maximum(0, 1 - (latent**2).sum(axis=1)))
