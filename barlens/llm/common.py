@@ -95,6 +95,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(names: list[str], stem: str) -> str:
+    """A column name that is none of ``names``, whatever their case."""
+    taken = {x.lower() for x in names}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

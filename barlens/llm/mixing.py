@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.llm.common import small, stored, word_count
+from barlens.llm.common import small, stored, unused, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -175,7 +175,8 @@ def mix(
 def apply_mix(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies, taken``: each row with the copies the mix takes of it.
 
-    Columns of these names are replaced.
+    Columns of these names are replaced.  Null texts have no words and no copies to count; rows that repeat
+    share their copies among them; an empty table gives no row.
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     decided = mix(docs, **settings)
@@ -183,7 +184,8 @@ def apply_mix(docs: DataFrame, **settings) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("nth", F.struct("source_size", "target", "copies", "taken")))).alias("mixed")
     )
     same = Window.partitionBy("source", "doc_id", "size").orderBy(F.xxhash64("text"))
-    numbered = docs.withColumn("size", word_count(F.col("text"))).withColumn("_nth", F.row_number().over(same))
+    nth, mixed, own = (unused(docs.columns, x) for x in ("_nth", "_mixed", "_own"))
+    numbered = docs.withColumn("size", word_count(F.col("text"))).withColumn(nth, F.row_number().over(same))
     on = [numbered[c].eqNullSafe(per[c]) for c in ("source", "doc_id", "size")]
-    joined = numbered.join(per, on).withColumn("_mixed", F.element_at("mixed", F.col("_nth")))
-    return joined.select(*[numbered[c] for c in kept], numbered["size"], "_mixed.source_size", "_mixed.target", "_mixed.copies", "_mixed.taken")
+    joined = numbered.join(per.withColumnRenamed("mixed", mixed), on).withColumn(own, F.element_at(mixed, F.col(nth)))
+    return joined.select(*[numbered[c] for c in kept], numbered["size"], *[F.col(f"{own}.{c}").alias(c) for c in ("source_size", "target", "copies", "taken")])

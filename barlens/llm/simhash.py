@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.llm.common import components, pieces, small, stored, utf8
+from barlens.llm.common import components, pieces, small, stored, unused, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -174,16 +174,17 @@ def representatives(docs: DataFrame, limit: int = TREE) -> DataFrame:
     """
     marked, named = _named(docs, limit)
     first = marked.join(named, "code").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "code")).alias("first"))
-    kept = first.select(F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("_id"), F.col("first.none").alias("_none"), F.col("first.code").alias("_code"))
     names = docs.columns
+    id_, none, code, nth = (unused(names, x) for x in ("_id", "_none", "_code", "_nth"))
+    kept = first.select(F.coalesce("first.doc_id", F.lit(0).cast("long")).alias(id_), F.col("first.none").alias(none), F.col("first.code").alias(code))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             codes = [_signed(fingerprint(x)) for x in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int64())], [*names, "_code"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int64())], [*names, code])
 
-    coded = docs.mapInArrow(run, docs.withColumn("_code", F.lit(0).cast("long")).schema)
-    coded = coded.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn("_none", F.col("doc_id").isNull())
-    nth = F.row_number().over(Window.partitionBy("_id", "_none", "_code").orderBy(F.xxhash64("text")))
-    rows = coded.join(kept, ["_id", "_none", "_code"], "left_semi")
-    return rows.withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in names])
+    coded = docs.mapInArrow(run, docs.withColumn(code, F.lit(0).cast("long")).schema)
+    coded = coded.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn(none, F.col("doc_id").isNull())
+    number = F.row_number().over(Window.partitionBy(id_, none, code).orderBy(F.xxhash64("text")))
+    rows = coded.join(kept, [id_, none, code], "left_semi")
+    return rows.withColumn(nth, number).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in names])

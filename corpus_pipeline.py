@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barlens.llm import decontamination, lines, mixing, simhash, toxicity
-from barlens.llm.common import stored
+from barlens.llm.common import stored, unused
 
 
 def clean_of_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the copies and words that the mix takes of each."""
-    return mixing.apply_mix(docs)
+    """The documents that the mix takes, each as often as it takes it, with its size, target and copies.
+
+    A document without words, or taken no time, goes; rows that repeat are documents of their own; an empty
+    table stays empty.
+    """
+    taken = mixing.apply_mix(docs).where("copies > 0")
+    nth = unused(taken.columns, "nth")
+    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop(nth)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -356,3 +356,17 @@ def test_empty_tables(spark):
 def test_digest(spark):
     kept = substrings.remove_repeats(_docs(spark, [(1, "a  b\tc", None)])).selectExpr("sha2(kept, 256) h").head().h
     assert kept == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_columns_with_the_operators_own_names(spark):
+    """Names that operators use inside stay as they are in the input."""
+    names = ["_code", "_id", "_none", "_nth", "_text", "_mixed", "_own", "mixed"]
+    rows = [(i, f"some words of document {i % 3} " * 9, "en", "s", *[7] * len(names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    for out in (simhash.representatives(docs), mixing.apply_mix(docs), toxicity.score(docs, labels), toxicity.clean(docs, labels)):
+        kept = out.collect()
+        assert kept and all(r[n] == 7 for r in kept for n in names)
+    empty = docs.limit(0)
+    assert toxicity.clean(empty, labels).count() == simhash.representatives(empty).count() == 0
+    assert decontamination.decontaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 12

@@ -167,5 +167,9 @@ def test_pipeline(spark, docs):
     assert frame.columns == names and not left & leaks and len(kept - left - leaks) <= 2
 
     frame = stages["mixing sources to target weights"](spark, frame, SF)
-    mixed = {r.doc_id: r for r in frame.collect()}
-    assert set(mixed) == left and all(r.text == want[i] and r.taken == r.copies * r.size for i, r in mixed.items())
+    mixed = frame.collect()
+    copies = {r.doc_id: r.copies for r in mixed}
+    assert set(copies) <= left and Counter(r.doc_id for r in mixed) == copies and max(copies.values()) <= 2
+    assert all(r.text == want[r.doc_id] and r.taken == r.copies * r.size for r in mixed)
+    size = {i: len(WORD.findall(want[i])) for i in left}
+    assert sum(r.size for r in mixed) == pytest.approx(1.5 * sum(size.values()), rel=0.1)
