@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import sessions
-from ..functions.nulls import items, some, yes
+from ..functions.nulls import every, items, some, yes
 from ..params import EventParams, StatisticsParams
 from ..vocab import (
     ANOMALY,
@@ -152,6 +152,12 @@ def largest_moves(events: DataFrame, n: int = 3) -> DataFrame:
     return top_events(scored, n, F.abs("return_zscore").desc(), F.asc("event_date"))
 
 
+def chosen(min_abs_zscore: float | None = None, min_volume_ratio: float | None = None) -> Column:
+    """The condition of ``event_filters`` on event rows or flagged sessions."""
+    tests = [(F.abs("return_zscore"), min_abs_zscore), (F.col("volume_ratio"), min_volume_ratio)]
+    return every(F.lit(True), *[x >= least for x, least in tests if least is not None])
+
+
 def event_filters(
     events: DataFrame,
     min_abs_zscore: float | None = None,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import recurrence
 from ..functions.frames import before, era, era_sessions, full, running, upto
 from ..functions.nulls import every, growth, per
+from ..functions.search import count_up_to
 
 # The chart settings.
 EMA_SPANS = (9, 21, 50, 200, 250)
@@ -60,16 +61,6 @@ def rolling_slope(column: str, window: int, position: str = "_pos") -> Column:
     )
 
 
-def _count_up_to(ordered: Column, limit: Column, room: int) -> Column:
-    """How many values of a sorted array are <= limit: a binary search by halving steps."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(room.bit_length()))])
-
-    def step(found: Column, s: Column) -> Column:
-        return F.when(F.get(ordered, found + s - 1) <= limit, found + s).otherwise(found)
-
-    return F.aggregate(steps, F.lit(0), step)
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """The body of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -119,7 +110,7 @@ def percentiles_of_previous(df: DataFrame, ranks: dict[str, tuple[str, int, int]
 
             def of(v: Column) -> Column:
                 known = F.size(block["run"]) + F.size(F.array_remove(v["ends"], math.nan))
-                up_to = F.size(F.filter(v["ends"], lambda e: e <= v["limit"])) + _count_up_to(block["run"], v["limit"], window)
+                up_to = F.size(F.filter(v["ends"], lambda e: e <= v["limit"])) + count_up_to(block["run"], v["limit"], window)
                 return F.when(~F.isnan(x) & (known >= least), F.lit(100.0) * (up_to / known))
 
             return _let(F.struct(ends.alias("ends"), (x + F.abs(x) * 1e-12).alias("limit")), of)

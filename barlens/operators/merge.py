@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.nulls import finite, yes
+from ..functions.nulls import finite, some, yes
 from ..vocab import (
     ABNORMAL_OUTCOMES,
     DATE_MATCHED,
@@ -203,8 +203,24 @@ def db_values(df: DataFrame) -> DataFrame:
 # ---- manual research ---------------------------------------------------------------
 
 
+def read_edits(spark: SparkSession, path: str) -> DataFrame:
+    """Edited rows from CSV files with a header, with their place in ``_order``.
+
+    The place is the file, where the row's block starts in it, and the row's number within the block, all from what
+    the scan knows: no sort, and any number of tasks reads the files.
+    """
+    rows = spark.read.option("header", True).csv(path)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    return rows.withColumn("_order", place)
+
+
 def _edits(edited: DataFrame) -> DataFrame:
-    """Trimmed, non-blank cells of an edited table, one row per (ticker, event_date)."""
+    """Trimmed, non-blank cells of an edited table, one row per edited row, with its place in ``_order``.
+
+    A frame without such a column is taken in the order in which Spark reads it.
+    """
     have = [c for c in RESEARCH_FIELDS if c in edited.columns]
     key = {
         "ticker": F.upper(F.trim("ticker")),
@@ -213,13 +229,12 @@ def _edits(edited: DataFrame) -> DataFrame:
             F.try_to_date(F.col("event_date").cast("string"), "MM/dd/yyyy"),
         ),
     }
-    cells = edited.select(
-        *[k.alias(n) for n, k in key.items()],
-        *[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias(f"new_{c}") for c in have],
-    )
+    place = F.col("_order") if "_order" in edited.columns else F.monotonically_increasing_id()
     none = F.lit(None).cast("string")
-    return cells.groupBy("ticker", "event_date").agg(
-        *[(F.max(f"new_{c}") if c in have else F.max(none)).alias(f"new_{c}") for c in RESEARCH_FIELDS]
+    return edited.select(
+        *[k.alias(n) for n, k in key.items()],
+        place.alias("_order"),
+        *[(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in have else none).alias(f"new_{c}") for c in RESEARCH_FIELDS],
     )
 
 
@@ -228,32 +243,44 @@ def unmatched_keys(edited: DataFrame, stored: DataFrame) -> DataFrame:
     return (
         _edits(edited)
         .select("ticker", "event_date")
+        .distinct()
         .join(stored.select("ticker", "event_date"), ["ticker", "event_date"], "left_anti")
     )
 
 
 def _decided(edited: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored events that the file matches, with ``set_<field>`` where a field changes."""
-    edits = _edits(edited)
-    joined = stored.join(edits, ["ticker", "event_date"])
+    """Stored events that the file matches, with ``set_<field>`` where a field changes.
+
+    Rows of one event apply in file order: of each field the last cell that is not blank stays.  A
+    status written by hand is never replaced by an automatic one, so the last manual status wins; where neither the
+    event nor any row has one, a row that changes research makes the status manual.  All of it is one
+    aggregate, so an event with very many rows is never gathered.
+    """
+    keys = ["ticker", "event_date"]
+    before = stored.select(*keys, *[F.col(c).alias(f"old_{c}") for c in RESEARCH_FIELDS])
+    rows = _edits(edited).join(before, keys)
     status = F.col("new_verification_status")
-    downgrade = yes(status.isin(*AUTOMATIC_STATUSES)) & ~yes(
-        F.col("verification_status").isin(*AUTOMATIC_STATUSES)
-    )
-    offered = {c: F.col(f"new_{c}") for c in RESEARCH_FIELDS}
-    offered["verification_status"] = F.when(~downgrade, status)
-    changed = {
-        c: F.when(v.isNotNull() & ~v.eqNullSafe(F.col(c)), v).alias(f"set_{c}")
-        for c, v in offered.items()
-    }
-    df = joined.select(*stored.columns, *changed.values())
-    research = (
-        F.col("set_event_category").isNotNull()
-        | F.col("set_event_description").isNotNull()
-        | F.col("set_source").isNotNull()
+
+    def last(value: Column) -> Column:
+        return F.max_by(value, F.when(value.isNotNull(), F.col("_order")))
+
+    def differs(c: str) -> Column:
+        return F.col(f"new_{c}").isNotNull() & ~F.col(f"new_{c}").eqNullSafe(F.col(f"old_{c}"))
+
+    plain = [c for c in RESEARCH_FIELDS if c != "verification_status"]
+    decided = rows.groupBy(*keys).agg(
+        *[last(F.col(f"new_{c}")).alias(f"new_{c}") for c in plain],
+        last(F.when(~status.isin(*AUTOMATIC_STATUSES), status)).alias("_by_hand"),
+        last(F.when(status.isin(*AUTOMATIC_STATUSES), status)).alias("_automatic"),
+        F.bool_or(some(*[differs(c) for c in ("event_category", "event_description", "source")])).alias("_research"),
     )
-    final = F.coalesce("set_verification_status", "verification_status")
-    return df.withColumn("_manual", research & yes(final.isin(*AUTOMATIC_STATUSES)))
+    joined = stored.join(decided, keys)
+    was_automatic = yes(F.col("verification_status").isin(*AUTOMATIC_STATUSES))
+    offered = {c: F.col(f"new_{c}") for c in plain}
+    offered["verification_status"] = F.coalesce("_by_hand", F.when(was_automatic, F.col("_automatic")))
+    changed = {c: F.when(v.isNotNull() & ~v.eqNullSafe(F.col(c)), v).alias(f"set_{c}") for c, v in offered.items()}
+    manual = was_automatic & F.col("_by_hand").isNull() & F.col("_research")
+    return joined.select(*stored.columns, *changed.values(), manual.alias("_manual"))
 
 
 def import_changes(edited: DataFrame, stored: DataFrame) -> DataFrame:

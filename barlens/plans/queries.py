@@ -21,7 +21,7 @@ from ..operators import cleaning, daily_stats, detection, evidence, fundamentals
 from ..operators import merge, outcomes, relative, structure, summaries, swing
 from ..params import EventParams, Params
 from ..sources import bars as bar_sources
-from ..sources import derived, releases, sinks
+from ..sources import derived, releases, sinks, store
 from ..vocab import EVENT_COLUMNS, OUTCOMES, RESEARCH_FIELDS, STATES, STOCK_FIELDS
 from . import flows
 
@@ -56,6 +56,10 @@ def shown(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.selectExpr(*[value(f) for f in df.schema])
 
 
+#: Ticker buckets of the tables that queries store; few, as the fixtures are small.
+FOLDERS = 4
+
+
 class Inputs:
     """The frames the queries start from, declared once per query."""
 
@@ -114,6 +118,10 @@ class Inputs:
     def releases(self) -> DataFrame:
         return releases.earnings_scan(derived.earnings_raw(self.spark, self.sf_dir))
 
+    @cached_property
+    def flagged(self) -> DataFrame:
+        return detection.flag_sessions(self.stats, self.params.events)
+
     @cached_property
     def found(self) -> DataFrame:
         """Events before evidence."""
@@ -318,7 +326,9 @@ def parse_number(x: Inputs) -> DataFrame:
 
 @query()
 def scan_prices(x: Inputs) -> DataFrame:
-    return bar_sources.scan_prices(x.price_store, "AF", "RO")
+    path = x.scratch("prices")
+    store.write_table(x.price_store, path, ["ticker", "date"], "date", FOLDERS)
+    return bar_sources.scan_prices(store.scan_table(x.spark, path, ["AF", "RO"], day="date", buckets=FOLDERS), "AF", "RO")
 
 
 @query()
@@ -396,7 +406,7 @@ def fundamentals_sink_csv(x: Inputs) -> DataFrame:
 @query(digits=6)
 def outcomes_sink_csv(x: Inputs) -> DataFrame:
     path = x.scratch("outcomes")
-    pooled = outcomes.pooled_event_outcomes(x.found, x.plain)
+    pooled = outcomes.pooled_session_outcomes(x.flagged)
     sinks.outcomes_sink_csv(pooled, path)
     return _csv_back(x, path, pooled.schema).select("group", "n_events", "mean_5d", "median_5d", "median_mfe_7d")
 
@@ -756,8 +766,7 @@ def event_outcomes(x: Inputs) -> DataFrame:
 
 @query()
 def pooled_event_outcomes(x: Inputs) -> DataFrame:
-    kept = detection.event_filters(x.found, min_abs_zscore=1.0, min_volume_ratio=1.0)
-    return outcomes.pooled_event_outcomes(kept, x.plain)
+    return outcomes.pooled_session_outcomes(x.flagged, detection.chosen(min_abs_zscore=1.0, min_volume_ratio=1.0))
 
 
 @query()
@@ -1118,12 +1127,19 @@ def merge_prices(x: Inputs) -> DataFrame:
     incoming = x.price_store.where(F.year("date") >= 1999).withColumns(
         {"close": F.col("close") + 1, "source": F.lit("corrected")}
     )
-    return merge.merge_prices(stored, incoming)
+    path, keys = x.scratch("prices"), ["ticker", "date"]
+    store.write_table(stored, path, keys, "date", FOLDERS)
+    store.merge_table(x.spark, path, incoming, merge.merge_prices, keys, "date", FOLDERS)
+    return store.read_table(x.spark, path).select(*stored.columns)
 
 
 @query(digits=7)
 def merge_events(x: Inputs) -> DataFrame:
-    return merge.merge_events(x.stored, x.events, (CALENDAR_SOURCE,))
+    path, keys = x.scratch("events"), ["ticker", "event_date"]
+    store.write_table(x.stored, path, keys, "event_date", FOLDERS)
+    rule = lambda old, new: merge.merge_events(old, new, (CALENDAR_SOURCE,))
+    store.merge_table(x.spark, path, x.events, rule, keys, "event_date", FOLDERS)
+    return store.read_table(x.spark, path)
 
 
 @query(digits=7)
@@ -1135,7 +1151,10 @@ def merge_events_without_benchmark(x: Inputs) -> DataFrame:
 
 @query(digits=4)
 def merge_fundamentals(x: Inputs) -> DataFrame:
-    return merge.merge_fundamentals(x.stored_fundamentals, x.fundamentals)
+    path, keys = x.scratch("fundamentals"), ["ticker", "period_type", "period_end", "metric"]
+    store.write_table(x.stored_fundamentals, path, keys, buckets=FOLDERS)
+    store.merge_table(x.spark, path, x.fundamentals, merge.merge_fundamentals, keys, buckets=FOLDERS)
+    return store.read_table(x.spark, path).select(*x.stored_fundamentals.columns)
 
 
 @query()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barlens.functions import recurrence
 from barlens.functions.frames import era
+from barlens.functions import medians
 from barlens.functions.medians import exact_medians
 from barlens.operators import relative, summaries
 from barlens.params import Params
@@ -46,21 +47,26 @@ def test_averages_of_any_span_over_twelve_years(spark):
             assert got[i][f"w{p}"] == pytest.approx(y, rel=1e-9)
 
 
-def test_a_hole_is_an_error_for_emas_and_a_pause_for_wilder(spark):
+def test_a_hole_ages_emas_and_pauses_wilder(spark):
     values = [1.0, 2.0, 4.0, None, 8.0, 3.0]
     df = _series(spark, values)
-    with pytest.raises(Exception, match="hole"):
-        recurrence.ema(df, {"e": ("x", 2)}).collect()
+    a = 2 / 3
+    second = a * 2 + (1 - a)
+    third = a * 4 + (1 - a) * second
+    fifth = (a * 8 + (1 - a) ** 2 * third) / (a + (1 - a) ** 2)
+    got = [r.e for r in recurrence.ema(df, {"e": ("x", 2)}).orderBy("date").collect()]
+    assert got == pytest.approx([None, second, third, third, fifth, a * 3 + (1 - a) * fifth])
     got = [r.w for r in recurrence.wilder(df, {"w": ("x", 2)}).orderBy("date").collect()]
     assert got == [None, 1.5, 2.75, 2.75, 5.375, 4.1875]
 
 
-def test_median_cells_follow_ranks_not_widths(spark):
+def test_median_cells_follow_ranks_not_widths(spark, monkeypatch):
     n = 200_000
     df = spark.range(n).select(F.lit("g").alias("k"), F.when(F.col("id") == 0, 1e9).when(F.col("id") == 1, 1e4).otherwise(F.sin("id")).alias("x"))
     values = sorted([1e9, 1e4] + [math.sin(i) for i in range(2, n)])
-    got = exact_medians(df, ["k"], ["x"])
-    assert got.head().x == pytest.approx((values[n // 2 - 1] + values[n // 2]) / 2, abs=1e-12)
+    monkeypatch.setattr(medians, "RANKED", 50)  # what was kept is cut again, twice
+    got = exact_medians(df, ["k"], ["x"], [F.count("*").alias("rows")])
+    assert got.head().rows == n and got.head().x == pytest.approx((values[n // 2 - 1] + values[n // 2]) / 2, abs=1e-12)
 
 
 def test_period_cuts_history(spark):

@@ -11,6 +11,7 @@ from barlens.operators import cleaning, fundamentals, merge
 from barlens.params import EventParams, Params
 from barlens.plans import flows
 from barlens.sources import bars as bar_sources
+from barlens.sources import store
 from barlens.vocab import EVENT_COLUMNS
 from helpers import BARS, walk, weekdays
 
@@ -149,3 +150,60 @@ def test_event_study_in_one_pass_equals_two(spark):
     one = flows.event_study(bars, None, params)
     names = ["ticker", "group", "n_events", "n_7d", "median_5d", "mean_mfe_3d"]
     assert sorted(map(str, one.select(*names).collect())) == sorted(map(str, two.select(*names).collect()))
+
+
+def _files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+@pytest.fixture()
+def kept(spark, tmp_path):
+    bars = walk(spark, 600, ticker="AA")
+    for n, ticker in enumerate(("BB", "CC", "DD")):
+        bars = bars.union(walk(spark, 600, seed=n, ticker=ticker))
+    store.write_table(bars, str(tmp_path / "bars"), ["ticker", "date"], "date", buckets=4)
+    return bars, tmp_path / "bars"
+
+
+def test_scans_read_only_the_folders_of_their_tickers_and_days(spark, kept):
+    bars, path = kept
+    some = store.scan_table(spark, str(path), ["BB"], "2021-02-01", "2021-03-31", "date", buckets=4)
+    want = bars.where("ticker = 'BB' AND date BETWEEN '2021-02-01' AND '2021-03-31'")
+    assert rows(some) == rows(want) and some.columns == bars.columns
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("PushedFilters")
+    assert "bucket" in filters[0] and "year" in filters[0] and "ticker" in filters[1]
+    executed = some._jdf.queryExecution().executedPlan()
+    executed.executeCollect()
+    scan = executed.collectLeaves().apply(0)
+    assert scan.metrics().apply("numFiles").value() == 1 < len(_files(path))
+
+
+def test_merges_rewrite_only_the_folders_they_touch(spark, kept):
+    bars, path = kept
+    before = _files(path)
+    batch = bars.where("ticker = 'CC' AND date >= '2021-12-20' AND date < '2022-01-10'").withColumn("close", F.lit(1.0))
+    batch = batch.union(batch.limit(1).withColumn("date", F.lit("2035-01-01").cast("date")))
+    folders = store.merge_table(spark, str(path), batch, merge.merge_prices, ["ticker", "date"], "date", buckets=4)
+    assert folders == 3
+    after = _files(path)
+    gone = {f.rsplit("/", 1)[0] for f in before.keys() - after.keys()}
+    assert len(gone) == 2 and all("year=2021" in f or "year=2022" in f for f in gone)
+    same = before.keys() & after.keys()
+    assert len(same) == len(before) - 2 and all(before[f] == after[f] for f in same)
+    assert rows(store.read_table(spark, str(path))) == rows(merge.merge_prices(bars, batch))
+    assert store.merge_table(spark, str(path), batch.limit(0), merge.merge_prices, ["ticker", "date"], "date", buckets=4) == 0
+
+
+def test_edited_rows_apply_in_file_order(spark, found, tmp_path):
+    """Three rows of one event: of each field the last cell stays, whatever its text; a manual status is kept."""
+    days = [str(r.event_date) for r in found.orderBy("event_date").collect()]
+    header = "ticker,event_date,event_category,event_description,source,verification_status,notes\n"
+    first = [("T", days[0], "Zeta", "one", "z", "Checked by hand", "n1"), ("T", days[0], "Alpha", "", "", "Unverified", ""), ("T", days[0], "Beta", "", "a", "", "")]
+    (tmp_path / "a.csv").write_text(header + "".join(",".join(r) + "\n" for r in first))
+    (tmp_path / "b.csv").write_text(header + f"T,{days[1]},,,,Unverified,only notes\nT,{days[1]},Late news,,,,\n")
+    edited = merge.read_edits(spark, str(tmp_path)).repartition(7)
+    after = {str(r.event_date): r for r in merge.import_research(edited, found).collect()}
+    a, b = after[days[0]], after[days[1]]
+    assert (a.event_category, a.event_description, a.source, a.verification_status, a.notes) == ("Beta", "one", "a", "Checked by hand", "n1")
+    assert (b.event_category, b.verification_status, b.notes) == ("Late news", "Researched manually", "only notes")
