@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import era_sessions
+from ..functions.frames import era_sessions, whole
 from ..functions.nulls import every, first_match, growth, items, yes
 from ..functions.recurrence import apart
 from ..vocab import NO_STRUCTURE, STATES
@@ -42,9 +42,11 @@ def swing_points(df: DataFrame, bars: int = 3) -> DataFrame:
 def level_candidates(technical: DataFrame, lookback: int = 60, bars: int = 3) -> DataFrame:
     """(ticker, price, origin, ordinal, close, atr): pivots of the recent window and extremes.
 
-    Pivots are tested on the full history, so the window's left edge is exact.
+    Pivots are tested on the full history, so the window's left edge is exact.  ``close`` and ``atr`` are those of the
+    last session, carried by a window on the same sort.
     """
-    df = ranked(swing_points(technical, bars)).where(F.col("from_end") <= lookback)
+    last_of = {f"_last_{c}": F.last(c).over(whole(era_sessions())) for c in ("close", "atr")}
+    df = ranked(swing_points(technical, bars)).withColumns(last_of).where(F.col("from_end") <= lookback)
     day = F.date_format("date", "yyyy-MM-dd")
     last = F.col("from_end") == 1
     position = (F.lit(lookback) - F.col("from_end")) * 2
@@ -77,10 +79,9 @@ def level_candidates(technical: DataFrame, lookback: int = 60, bars: int = 3) ->
             for k, (c, name) in enumerate(EXTREMES)
         ],
     )
-    return df.select(
-        "ticker",
-        F.explode(found).alias("c"),
-    ).select("ticker", "c.*")
+    return df.select("ticker", "_last_close", "_last_atr", F.explode(found).alias("c")).select(
+        "ticker", "c.*", F.col("_last_close").alias("close"), F.col("_last_atr").alias("atr")
+    )
 
 
 _LEVEL = "struct<price:double,origin:string,also:array<string>,also_prices:array<double>>"
@@ -129,13 +130,8 @@ def support_resistance(
 
     At most ``2 * lookback + 4`` candidates exist per ticker, so collecting them is bounded.
     """
-    last = (
-        ranked(technical)
-        .where(F.col("from_end") == 1)
-        .select("ticker", "close", "atr")
-        .withColumn("unit", F.when(F.col("atr") > 0, F.col("atr")).otherwise(F.col("close") * 0.01))
-    )
-    pools = level_candidates(technical, lookback, bars).join(last, "ticker")
+    unit = F.when(F.col("atr") > 0, F.col("atr")).otherwise(F.col("close") * 0.01)
+    pools = level_candidates(technical, lookback, bars).withColumn("unit", unit)
     away = F.col("price") - F.col("close")
     side = F.when(F.col("price") > F.col("close") + LEAST_GAP_ATR * F.col("unit"), "resistance").when(
         F.col("price") < F.col("close") - LEAST_GAP_ATR * F.col("unit"), "support"

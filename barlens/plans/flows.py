@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, daily_stats, detection, evidence, indicators, labels, outcomes
-from ..operators import relative, structure
+from ..operators import relative, structure, swing
 from ..params import Params
 from ..vocab import OUTCOMES
 
@@ -80,6 +80,29 @@ def technical(
     return labels.swing_condition(structure.structure_states(frame))
 
 
+def levels(technical: DataFrame, params: Params = Params()) -> DataFrame:
+    """Support and resistance from the pivots of the settings' window."""
+    settings = params.technical
+    return structure.support_resistance(technical, settings.structure_lookback_days, settings.pivot_bars)
+
+
+def chart(technical: DataFrame, params: Params = Params()) -> DataFrame:
+    return swing.chart_window(technical, params.technical.chart_days)
+
+
+def event_risk(last: DataFrame, calendar: DataFrame | None, params: Params = Params()) -> DataFrame:
+    return evidence.next_earnings(last, calendar, params.technical.event_risk_days)
+
+
+def context(technical_outcomes: DataFrame, params: Params = Params()) -> DataFrame:
+    return outcomes.historical_context(technical_outcomes, params.technical.min_history_samples)
+
+
+def event_summary(found: DataFrame, params: Params = Params()) -> DataFrame:
+    """The latest events of each ticker, as many as a summary shows."""
+    return detection.recent_events(found, params.max_events_in_summary)
+
+
 def technical_notes(frame: DataFrame) -> DataFrame:
     """Per ticker: sessions, filled sessions, and flags of a short history."""
     n = F.col("sessions")

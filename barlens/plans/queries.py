@@ -690,7 +690,7 @@ def direction_counts(x: Inputs) -> DataFrame:
 
 @query(digits=7)
 def recent_events(x: Inputs) -> DataFrame:
-    return detection.recent_events(x.events, 30).select(
+    return flows.event_summary(x.events, x.params).select(
         "ticker", "rank", "event_date", "return_zscore", "trigger_rules", "event_category"
     )
 
@@ -816,7 +816,7 @@ def count_episodes(x: Inputs) -> DataFrame:
 
 @query()
 def historical_context(x: Inputs) -> DataFrame:
-    return outcomes.historical_context(x.technical_outcomes)
+    return flows.context(x.technical_outcomes, x.params)
 
 
 # ---- indicators ---------------------------------------------------------------------------
@@ -939,11 +939,13 @@ def swing_points(x: Inputs) -> DataFrame:
 
 @query(digits=6)
 def level_candidates(x: Inputs) -> DataFrame:
-    return structure.level_candidates(x.technical).select("ticker", "price", "origin")
+    settings = x.params.technical
+    found = structure.level_candidates(x.technical, settings.structure_lookback_days, settings.pivot_bars)
+    return found.select("ticker", "price", "origin")
 
 
 def _levels(x: Inputs) -> DataFrame:
-    return structure.support_resistance(x.technical).withColumn("merged", F.size("also"))
+    return flows.levels(x.technical, x.params).withColumn("merged", F.size("also"))
 
 
 @query(digits=6)
@@ -967,7 +969,7 @@ def proximity_notes(x: Inputs) -> DataFrame:
 def next_earnings(x: Inputs) -> DataFrame:
     """As of the end of 2000; RO has no calendar."""
     last = summaries.last_row(x.old_bars)
-    return evidence.next_earnings(last, x.releases.where(F.col("ticker") != "RO"), 7)
+    return flows.event_risk(last, x.releases.where(F.col("ticker") != "RO"), x.params)
 
 
 @query(digits=6)
@@ -984,7 +986,7 @@ def technical_analysis(x: Inputs) -> DataFrame:
             ]
         )
     )
-    risk = evidence.next_earnings(x.last, x.releases).select("ticker", "status", "sessions_until")
+    risk = flows.event_risk(x.last, x.releases, x.params).select("ticker", "status", "sessions_until")
     state = x.last.select("ticker", "date", "swing_condition", "swing_score", "structure", "states")
     return state.join(near, "ticker", "left").join(risk, "ticker", "left")
 
@@ -1029,13 +1031,13 @@ def reference_levels(x: Inputs) -> DataFrame:
 
 @query(digits=6)
 def chart_window(x: Inputs) -> DataFrame:
-    return swing.chart_window(x.indicators)
+    return flows.chart(x.indicators, x.params)
 
 
 @query(digits=6)
 def chart_limits(x: Inputs) -> DataFrame:
-    window = swing.chart_window(x.technical)
-    return swing.chart_limits(window, structure.support_resistance(x.technical))
+    window = flows.chart(x.technical, x.params)
+    return swing.chart_limits(window, flows.levels(x.technical, x.params))
 
 
 @query()

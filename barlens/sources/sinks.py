@@ -60,17 +60,19 @@ def jsonable(column: Column, kind: T.DataType) -> Column:
 def analysis_documents(sections: dict[str, DataFrame]) -> DataFrame:
     """One row per ticker with one column per section.
 
-    A section with one row per ticker becomes a struct, any other an array of
-    structs.  All sections are summaries: bounded rows per ticker.
+    A section is an array of structs, NULL where a ticker has none.  All sections are stacked, each row in the column of
+    its section, and grouped once, so a ticker that only one section knows has its document.  All
+    sections are summaries: bounded rows per ticker.
     """
-    documents = None
+    stacked = None
     for name, df in sections.items():
         row = F.struct(
             *[jsonable(F.col(f.name), f.dataType).alias(f.name) for f in df.schema if f.name != "ticker"]
         )
-        part = df.groupBy("ticker").agg(F.sort_array(F.collect_list(row)).alias(name))
-        documents = part if documents is None else documents.join(part, "ticker", "left")
-    return documents
+        part = df.select("ticker", row.alias(name))
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    gathered = stacked.groupBy("ticker").agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in sections])
+    return gathered.select("ticker", *[F.when(F.size(name) > 0, F.col(name)).alias(name) for name in sections])
 
 
 def analysis_json_sink(documents: DataFrame, path: str) -> None:

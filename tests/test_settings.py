@@ -15,10 +15,11 @@ from barlens.functions.frames import era
 from barlens.functions import medians
 from barlens.functions.medians import exact_medians
 from barlens.operators import relative, summaries
-from barlens.params import Params
+from barlens.params import Params, TechnicalParams
 from barlens.plans import flows
 from barlens.sources.bars import standardize_prices
 from barlens.sources.releases import earnings_scan
+from barlens.sources.sinks import analysis_documents
 from helpers import walk
 
 
@@ -99,3 +100,32 @@ def test_whole_text_must_be_a_date(spark):
     raw = spark.createDataFrame([("A", t, "1") for t in texts], "ticker string, Date string, Close string")
     got = sorted(str(r.date) for r in standardize_prices(raw).collect())
     assert got == ["2020-01-01", "2020-01-01", "2020-01-02", "2020-01-02"]
+
+
+def test_technical_settings_take_effect(spark):
+    bars = walk(spark, 320, shocks={40: (0.1, 6), 150: (-0.1, 6), 200: (0.12, 6), 260: (-0.09, 6)})
+    tight = Params(
+        period="max", max_events_in_summary=2,
+        technical=TechnicalParams(chart_days=20, structure_lookback_days=20, pivot_bars=1, event_risk_days=1, min_history_samples=1000),
+    )
+    usual = Params(period="max")
+    technical = flows.technical(bars, None, with_outcomes=True).cache()
+    assert (flows.chart(technical, tight).count(), flows.chart(technical, usual).count()) == (20, 126)
+    found = flows.events(flows.statistics(bars, None, usual), usual)
+    assert flows.event_summary(found, tight).count() == 2 < flows.event_summary(found, usual).count()
+    near = [{(r.side, r.price, r.origin) for r in flows.levels(technical, p).collect()} for p in (tight, usual)]
+    assert near[0] and near[0] != near[1]
+    assert {r.small_sample for r in flows.context(technical, tight).collect()} == {True}
+    assert not all(r.small_sample for r in flows.context(technical, usual).collect())
+    last = summaries.last_row(bars)
+    release = last.select("ticker", (F.date_add("date", 5).cast("timestamp_ntz")).alias("release_time"))
+    risk = [flows.event_risk(last, release, p).head().within_window for p in (tight, usual)]
+    assert risk == [False, True]
+
+
+def test_a_ticker_of_one_section_has_its_document(spark):
+    a = spark.createDataFrame([("A", 1.0), ("A", 2.0)], "ticker string, x double")
+    b = spark.createDataFrame([("B", dt.date(2020, 1, 1))], "ticker string, day date")
+    got = {r.ticker: r for r in analysis_documents({"a": a, "b": b}).collect()}
+    assert [x.x for x in got["A"].a] == [1.0, 2.0] and got["A"].b is None
+    assert got["B"].a is None and [x.day for x in got["B"].b] == ["2020-01-01"]
