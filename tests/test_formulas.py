@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barlens.functions import recurrence
 from barlens.functions.frames import era
 from barlens.functions.medians import exact_medians
-from barlens.operators import cleaning, daily_stats, evidence, indicators, labels, structure, summaries
+from barlens.operators import cleaning, daily_stats, detection, evidence, indicators, labels, structure, summaries, swing
 from barlens.params import EventParams, ParameterError, Params, StatisticsParams
 from barlens.plans import flows
 from barlens.vocab import STATES
@@ -305,3 +305,16 @@ def test_parameters_are_checked():
     ):
         with pytest.raises(ParameterError):
             bad()
+
+
+def test_values_that_tie_with_a_threshold_reach_it(spark):
+    """Each is the bound in exact arithmetic and misses it by rounding, as the 20-session volume score and the OBV slope can."""
+    low = 2.4999999999999996
+    flags = detection.rule_flags(EventParams(2.0, 1.8, 2.5, 0.03))["volume_zscore"]
+    rows = spark.createDataFrame([(low,), (2.5,), (2.49999999,), (None,)], "volume_zscore double")
+    assert [r[0] for r in rows.select(flags).collect()] == [True, True, False, False]
+    slopes = [(0.09999999999999842,), (-0.09999999999999842,), (0.0999999,), (None,)]
+    rows = spark.createDataFrame(slopes, "obv_slope10 double").select(
+        "*", (-F.signum("obv_slope10") * 0.05).alias("ta_return_5d"), F.lit(1.5).alias("move_5d_atr")
+    )
+    assert [r[0] for r in rows.select(swing.obv_divergence()).collect()] == [True, True, False, False]
