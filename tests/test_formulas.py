@@ -318,3 +318,13 @@ def test_values_that_tie_with_a_threshold_reach_it(spark):
         "*", (-F.signum("obv_slope10") * 0.05).alias("ta_return_5d"), F.lit(1.5).alias("move_5d_atr")
     )
     assert [r[0] for r in rows.select(swing.obv_divergence()).collect()] == [True, True, False, False]
+
+
+def test_last_row_uses_the_sort_that_is_there(spark):
+    """Wide rows are sorted once; the row is the last by date, with and without eras."""
+    bars = walk(spark, 1300, ticker="A").unionByName(walk(spark, 40, ticker="B"))
+    wide = bars.withColumn("era", era()).withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("era", "date")))
+    out = summaries.last_row(wide)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert {(r.ticker, r.n) for r in out.collect()} == {("A", 1300), ("B", 40)}
+    assert {(r.ticker, r.date) for r in summaries.last_row(bars).collect()} == {(r.ticker, r.date) for r in out.collect()}
