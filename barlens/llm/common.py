@@ -50,26 +50,31 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _scrambled(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def hashed_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a text's bytes begin, and a 64-bit hash of each.
 
-    A word's hash is a sum over its bytes of the byte's code times a code of the place, scrambled.
+    A word's hash starts from its length and takes in eight bytes at a time, scrambled after each.
     Words are hashed some at a time, to bound memory.
     """
-    edge = np.diff(_SPACE[buffer].astype(np.int8), prepend=1, append=1)
-    starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    outside = np.ones(len(buffer) + 2, bool)
+    outside[1:-1] = _SPACE[buffer]
+    edges = np.flatnonzero(outside[1:] != outside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buffer) + 1, "<u8", padded, strides=(1,))
     hashes = np.empty(len(starts), np.uint64)
-    longest = int((ends - starts).max()) if len(starts) else 0
-    place = _scrambled(np.arange(1, longest + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
     for a in range(0, len(starts), 100_000):
-        first, sizes = starts[a : a + 100_000], (ends - starts)[a : a + 100_000]
-        begin = np.cumsum(sizes) - sizes
-        at = np.arange(sizes.sum()) - np.repeat(begin, sizes)
-        codes = _BYTE[buffer[np.repeat(first, sizes) + at]] * place[at]
-        hashes[a : a + 100_000] = _scrambled(np.add.reduceat(codes, begin))
+        at, left = starts[a : a + 100_000], sizes[a : a + 100_000]
+        more, part = np.arange(len(at)), left.astype(np.uint64)
+        while len(more):
+            part[more] = _scrambled(part[more] * np.uint64(0x9E3779B97F4A7C15) + (eight[at] & _BYTES[np.minimum(left, 8)]))
+            longer = left > 8
+            more, at, left = more[longer], at[longer] + 8, left[longer] - 8
+        hashes[a : a + 100_000] = part
     return starts, hashes
 
 

@@ -25,8 +25,12 @@ COSINE, VERBATIM, PARAPHRASE = 0.45, 0.75, 0.5
 ANSWER, ANSWERED = 8, 0.5
 #: Benchmark passages per model: what is collected and broadcast is bounded by it.
 ITEMS = 2000
+#: Words up to which a task adds up the Gram matrix itself: half of it is held, 100 MB in doubles.
+GRAM = 5000
 #: Passages, and about how many of their words, that a task works on at once.
 ROWS, ENTRIES = 2048, 16_384
+#: Passages whose directions are gathered at a time.
+LIKE = 32
 
 #: ASCII letters to lower case, other ASCII characters but digits to spaces; further bytes stay.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -120,8 +124,8 @@ class Vocabulary:
         folded = [x.translate(_FOLD) for x in texts]
         ends = np.cumsum([len(x) + 1 for x in folded])
         starts, hashes = hashed_words(np.frombuffer(b" ".join(folded), np.uint8))
-        text = np.searchsorted(ends, starts, "right")
-        sizes = np.bincount(text, minlength=len(texts))
+        sizes = np.diff(np.searchsorted(starts, ends), prepend=0)
+        text = np.repeat(np.arange(len(texts)), sizes)
         cells = np.zeros(1 << 22, bool)
         cells[self.marked] = True
         at = np.flatnonzero(cells[hashes >> np.uint64(42)])
@@ -156,8 +160,8 @@ def _frequencies(vocab: Vocabulary) -> Callable:
         seen = np.zeros(len(vocab) + 1, np.int64)
         for batch in pieces(batches, "text"):
             doc, place, word, sizes = vocab.find(utf8(batch, "text"))
-            held = np.unique(((doc << 24) + place // STRIDE) * len(vocab) + word)
-            seen[:-1] += np.bincount(held % len(vocab), minlength=len(vocab))
+            held = np.sort(((doc << 24) + place // STRIDE) * len(vocab) + word)
+            seen[:-1] += np.bincount(held[np.diff(held, prepend=-1) > 0] % len(vocab), minlength=len(vocab))
             seen[-1] += (-(-sizes // STRIDE)).sum()
         yield _value(seen)
 
@@ -209,6 +213,41 @@ def _gram_times(shape: tuple[int, int], start: Callable[[], np.ndarray]) -> Call
     return run
 
 
+def _gram(vocab: Vocabulary, idf: np.ndarray) -> Callable:
+    """``A' A`` of a task's passages A: its upper triangle by rows, and last the number of passages."""
+    n = len(vocab)
+    first = np.arange(n) * n - np.arange(n) * (np.arange(n) + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, used = np.zeros(n * (n + 1) // 2 + 1), False
+        for batch in pieces(batches, "text"):
+            doc, place, word, _ = vocab.find(utf8(batch, "text"))
+            rows, row, word, value = _passages(doc, place, word, idf)
+            total[-1] += len(rows)
+            used |= len(rows) > 0
+            ends, begins = np.searchsorted(row, row, "right"), first[word]
+            for a in range(0, len(row), ENTRIES):
+                # each entry meets itself and those after it in its row, whose words are larger
+                mine = np.arange(a, min(a + ENTRIES, len(row)))
+                many = ends[mine] - mine
+                other = np.arange(many.sum()) + np.repeat(mine - np.cumsum(many) + many, many)
+                np.add.at(total, np.repeat(begins[mine], many) + word[other], np.repeat(value[mine], many) * value[other])
+        if used:
+            yield _value(total.astype(np.float32))
+
+    return run
+
+
+def _full(half: np.ndarray, n: int) -> np.ndarray:
+    """The symmetric matrix of an upper triangle by rows."""
+    out = np.zeros((n, n), half.dtype)
+    at = 0
+    for i in range(n):
+        out[i, i:] = out[i:, i] = half[at : at + n - i]
+        at += n - i
+    return out
+
+
 def _slices(row: np.ndarray) -> list[tuple[int, int]]:
     """Bounds of whole rows, at most ``ROWS`` of them and about ``ENTRIES`` entries, of entries in order of row.
 
@@ -234,14 +273,40 @@ class Model:
     most: np.ndarray
 
 
+def _gram_product(text: DataFrame, vocab: Vocabulary, idf: np.ndarray, tasks: int) -> tuple[float, Callable]:
+    """How many passages there are, and a function that multiplies a matrix by their Gram matrix, added up in one pass."""
+    some = max(8, tasks // 4)
+    total = _tree(text.coalesce(some).mapInArrow(_gram(vocab, idf), "value binary"), _adding(np.float32), some).collect()
+    if not total:
+        return 0, lambda thin: np.zeros_like(thin)
+    half = np.frombuffer(total[0][0], np.float32)
+    gram = _full(half[:-1], len(vocab))
+    return float(half[-1]), lambda thin: gram @ thin.astype(np.float32)
+
+
+def _thin_product(text: DataFrame, vocab: Vocabulary, idf: np.ndarray, tasks: int) -> tuple[float, Callable]:
+    """The same where the Gram matrix is too large to hold: the passages are stored and read once a product."""
+    rows = stored(text.mapInArrow(_sparse(vocab, idf), "n long, row binary, word binary, value binary"))
+    some = max(8, tasks // 16)
+
+    def times(thin: np.ndarray) -> np.ndarray:
+        shared = text.sparkSession.sparkContext.broadcast(thin.astype(np.float32))
+        found = rows.coalesce(some).mapInArrow(_gram_times(thin.shape, lambda: shared.value), "value binary")
+        total = _tree(found, _adding(np.float32), some).collect()
+        return np.frombuffer(total[0][0], np.float32).reshape(thin.shape) if total else np.zeros_like(thin)
+
+    return rows.agg(F.sum("n")).head()[0] or 0, times
+
+
 def fit(docs: DataFrame, items: list[Item]) -> Model | None:
     """Latent space of the corpus's passages over the words of ``items``; None if the corpus holds none of them.
 
-    Word frequencies are counted over all passages.  The randomised SVD starts from random directions;
-    two passes multiply them by the passages' Gram matrix, each task adding up its rows into one thin
-    matrix (words of the items by directions), summed over two levels of tasks, and the driver finds the
-    axes within that span.  The items' own passages weigh ``OWN`` times the corpus, so that the
-    axes cover them.
+    Word frequencies are counted over all passages.  The randomised SVD starts from random directions,
+    multiplies them twice by the Gram matrix of all passages, and the driver finds the axes within that
+    span.  Up to ``GRAM`` words each task adds up its passages' Gram matrix, once for both products;
+    beyond, each product is a pass in which a task adds up a thin matrix (words of the items by
+    directions).  Either is summed over two levels of tasks.  The items' own passages weigh ``OWN``
+    times the corpus, so that the axes cover them.
     """
     vocab = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
     if not vocab:
@@ -263,18 +328,12 @@ def fit(docs: DataFrame, items: list[Item]) -> Model | None:
     asked = np.where(asked > 0, 1 + np.log(np.maximum(asked, 1)), 0) * idf
     asked /= np.maximum(np.linalg.norm(asked, axis=1), 1e-12)[:, None]
 
-    rows = stored(text.mapInArrow(_sparse(Vocabulary(list(vocab)), idf), "n long, row binary, word binary, value binary"))
-    heavy = OWN * (rows.agg(F.sum("n")).head()[0] or 0) / len(items) + 1
     rank = min(len(vocab), RANK + SPARE)
     thin = np.linalg.qr(np.random.default_rng(5).normal(size=(len(vocab), rank)))[0]
-    context = docs.sparkSession.sparkContext
+    passages, times = (_gram_product if len(vocab) <= GRAM else _thin_product)(text, Vocabulary(list(vocab)), idf, tasks)
+    heavy = OWN * passages / len(items) + 1
     for _ in range(2):
-        shared = context.broadcast(thin.astype(np.float32))
-        found = rows.coalesce(max(8, tasks // 16)).mapInArrow(_gram_times(thin.shape, lambda s=shared: s.value), "value binary")
-        total = _tree(found, _adding(np.float32), max(8, tasks // 16)).collect()
-        image = heavy * asked.T @ (asked @ thin)
-        if total:
-            image += np.frombuffer(total[0][0], np.float32).reshape(thin.shape)
+        image = heavy * asked.T @ (asked @ thin) + times(thin)
         inner = thin.T @ image
         thin_before, thin = thin, np.linalg.qr(image)[0]
     _, turn = np.linalg.eigh((inner + inner.T) / 2)
@@ -285,6 +344,19 @@ def fit(docs: DataFrame, items: list[Item]) -> Model | None:
     return Model(Vocabulary(list(vocab)), idf, axes.astype(np.float32), items, weights, latent.astype(np.float32), rest.astype(np.float32), asked.max(axis=0))
 
 
+def _latent(axes: np.ndarray, begins: np.ndarray, counts: np.ndarray, word: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Passages in the latent space.  Some of like length are taken at a time, filled up with zeros, to stay in the cache."""
+    out = np.empty((len(begins), axes.shape[1]), np.float32)
+    order = np.argsort(counts, kind="stable")
+    for a in range(0, len(order), LIKE):
+        some = order[a : a + LIKE]
+        place = np.arange(counts[some[-1]])
+        held = place < counts[some][:, None]
+        at = np.where(held, begins[some][:, None] + place, 0)
+        out[some] = np.matmul(np.where(held, value[at], 0).astype(np.float32)[:, None], axes[word[at]])[:, 0]
+    return out
+
+
 def found_in(texts: list[bytes], model: Model) -> list[dict]:
     """Matches of items in texts: ``at`` (text), item_id, start, stop, cosine, common.
 
@@ -302,18 +374,18 @@ def found_in(texts: list[bytes], model: Model) -> list[dict]:
     rows, row, word, value = rows[able], number[row[keep]], word[keep], value[keep]
     words: dict[int, list[bytes]] = {}
     best: dict[tuple, dict] = {}
-    for a, b in _slices(row):
-        first = np.flatnonzero(np.diff(row[a:b], prepend=-1))
-        latent = np.add.reduceat(model.axes[word[a:b]] * value[a:b, None].astype(np.float32), first, axis=0)
+    counts = np.bincount(row, minlength=len(rows))
+    begins = np.cumsum(counts) - counts
+    for a in range(0, len(rows), ROWS):
+        latent = _latent(model.axes, begins[a : a + ROWS], counts[a : a + ROWS], word, value)
         rest = np.sqrt(np.maximum(0, 1 - (latent**2).sum(axis=1)))
-        ends = np.append(first[1:], b - a)
         for r, i in np.argwhere(latent @ model.latent.T + rest[:, None] * model.rest >= COSINE - 1e-4).tolist():
             own = model.weights[i]
-            mine = slice(a + first[r], a + ends[r])
+            mine = slice(begins[a + r], begins[a + r] + counts[a + r])
             cosine = sum(own.get(w, 0.0) * v for w, v in zip(word[mine].tolist(), value[mine].tolist(), strict=True))
             if cosine < COSINE:
                 continue
-            d, p = rows[row[a] + r].tolist()
+            d, p = rows[a + r].tolist()
             if d not in words:
                 words[d] = words_of(texts[d])
             item = model.items[i]

@@ -8,10 +8,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from barlens.llm import chat, decontamination, html, lines, mixing, neighbours, simhash, substrings, tokens, toxicity
+from barlens.llm.common import hashed_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string"
@@ -198,6 +200,51 @@ def test_decontamination_without_rare_words(spark):
     assert decontamination.matches(_docs(spark, rows), none).count() == 0
 
 
+def test_passages_gram_and_latent_parts():
+    """A task's half Gram matrix and the latent parts are those of the dense matrix of passages."""
+    rnd = random.Random(8)
+    words = [f"w{i}".encode() for i in range(40)]
+    texts = [b" ".join(rnd.choices(words + [b"none"], k=n)) for n in (0, 1, 5, 31, 32, 33, 64, 65, 200, 900, 3000)]
+    vocab, idf = decontamination.Vocabulary(words), np.linspace(0.5, 2, 40)
+    doc, place, word, _ = vocab.find(texts)
+    rows, row, word, value = decontamination._passages(doc, place, word, idf)
+    dense = np.zeros((len(rows), 40))
+    dense[row, word] = value
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array([t.decode() for t in part])}) for part in (texts[:8], texts[8:])]
+    half = np.frombuffer(next(decontamination._gram(vocab, idf)(iter(batches))).column(0)[0].as_py(), np.float32)
+    assert half[-1] == len(rows)
+    assert np.allclose(decontamination._full(half[:-1], 40), dense.T @ dense, rtol=1e-5)
+    axes = np.random.default_rng(1).normal(size=(40, 7)).astype(np.float32)
+    counts = np.bincount(row, minlength=len(rows))
+    got = decontamination._latent(axes, np.cumsum(counts) - counts, counts, word, value)
+    assert np.allclose(got, dense @ axes, atol=1e-4)
+
+
+def test_decontamination_with_more_words_than_a_gram_matrix(spark, monkeypatch):
+    """Passes over stored passages find what one Gram matrix finds."""
+    rnd = random.Random(12)
+    usual = [f"u{i}" for i in range(300)]
+    items = [(k, " ".join(rnd.sample(usual, 30))) for k in range(6)]
+    texts = [" ".join(rnd.choices(usual, k=90)) for _ in range(60)]
+    rows = [(i, f"{t} {items[i % 6][1]} {t}" if i % 5 == 0 else t, "a") for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(decontamination.matches(_docs(spark, rows), bench).collect())
+    monkeypatch.setattr(decontamination, "GRAM", 0)
+    assert sorted(decontamination.matches(_docs(spark, rows), bench).collect()) == one
+    assert {(r.doc_id, r.item_id) for r in one} >= {(i, i % 6) for i in range(0, 60, 5)}
+
+
+def test_hashed_words():
+    """A word has one hash wherever it stands, and different words have different ones, whatever bytes fill them up."""
+    words = [b"a" * n for n in range(1, 40)] + [b"a" * n + b"\0" * m for n in (1, 7, 8, 9) for m in range(1, 12)]
+    words += [b"%d" % i for i in range(5000)] + [b"long-common-beginning-%d-and-end" % i for i in range(500)]
+    starts, hashes = hashed_words(np.frombuffer(b" ".join(words), np.uint8))
+    assert len(set(hashes.tolist())) == len(words) == len(starts)
+    again = hashed_words(np.frombuffer(b"\n\t" + b"\x0b ".join(words[::-1]) + b" ", np.uint8))
+    assert again[1].tolist() == hashes.tolist()[::-1] and again[0][0] == 2
+    assert all(len(x) == 0 for text in (b"", b"  ") for x in hashed_words(np.frombuffer(text, np.uint8)))
+
+
 def test_common_words():
     rnd = random.Random(2)
     for _ in range(200):
