@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from barlens.functions import series
-from barlens.operators import indicators
+from barlens.operators import earlier, indicators, labels, structure, summaries, swing
 from helpers import column, walk
 
 STEPS = {
@@ -80,3 +80,22 @@ def test_functions_travel_with_the_query(tmp_path):
     load = "import pickle; print(pickle.load(open('f', 'rb')).column)"
     done = subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env={"PATH": os.environ["PATH"]}, capture_output=True, text=True)
     assert done.stdout == "close\n", done.stderr
+
+
+def test_labels_read_the_series_of_earlier_sessions(spark):
+    """No window deals the labelled rows again; a frame without the series gives the same; last sessions are those of all."""
+    bars = walk(spark, 90)
+    frame = indicators.compute_indicators(bars)
+    together = indicators.compute_indicators(bars, earlier.EVERYTHING, earlier.inputs())
+
+    def labelled(df):
+        return swing.with_changes(labels.swing_condition(structure.structure_states(labels.classify_all(df))))
+
+    quick = earlier.without(labelled(together))
+    assert "Window" not in quick._jdf.queryExecution().optimizedPlan().toString()
+    apart = labelled(frame)
+    assert quick.columns == apart.columns
+    key = ["ticker", "date"]
+    assert quick.orderBy(key).collect() == apart.orderBy(key).collect()
+    last = earlier.without(labelled(together.where("_sessions_left = 0")))
+    assert last.orderBy(key).collect() == summaries.last_row(quick).orderBy(key).collect()
