@@ -77,19 +77,28 @@ def common_words(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
-def _tree(df: DataFrame, add: Callable, rows: int) -> DataFrame:
-    """One row from a frame of single binary values, added up in two levels of tasks."""
+def _tree(df: DataFrame, add: Callable, rows: int, last: Callable | None = None) -> DataFrame:
+    """One row from a frame of single binary values, added up in two levels of tasks; ``last`` adds up what is left."""
     some = max(1, int(rows**0.5))
-    return df.repartition(some).mapInArrow(add, "value binary").repartition(1).mapInArrow(add, "value binary")
+    return df.repartition(some).mapInArrow(add, "value binary").repartition(1).mapInArrow(last or add, "value binary")
+
+
+def _sum(batches: Iterator[pa.RecordBatch], kind: type) -> np.ndarray | None:
+    """The sum of the batches' values, none of them copied."""
+    total = None
+    for batch in batches:
+        for x in batch.column(0):
+            value = np.frombuffer(x.as_buffer(), kind)
+            if total is None:
+                total = value.copy()
+            else:
+                total += value
+    return total
 
 
 def _adding(kind: type) -> Callable:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                value = np.frombuffer(x, kind)
-                total = value.copy() if total is None else total + value
+        total = _sum(batches, kind)
         if total is not None:
             yield _value(total)
 
@@ -273,19 +282,56 @@ class Model:
     most: np.ndarray
 
 
-def _gram_product(text: DataFrame, vocab: Vocabulary, idf: np.ndarray, tasks: int) -> tuple[float, Callable]:
-    """How many passages there are, and a function that multiplies a matrix by their Gram matrix, added up in one pass."""
-    some = max(8, tasks // 4)
-    total = _tree(text.coalesce(some).mapInArrow(_gram(vocab, idf), "value binary"), _adding(np.float32), some).collect()
-    if not total:
-        return 0, lambda thin: np.zeros_like(thin)
-    half = np.frombuffer(total[0][0], np.float32)
-    gram = _full(half[:-1], len(vocab))
-    return float(half[-1]), lambda thin: gram @ thin.astype(np.float32)
+def _weighed(items: list[Item], vocab: dict[bytes, int], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit TF-IDF rows of the items: their words' numbers and values."""
+    out = []
+    for x in items:
+        word, times = np.unique(np.array([vocab[w] for w in x.words if w in vocab], np.int64), return_counts=True)
+        value = (1 + np.log(times)) * idf[word]
+        out.append((word, value / max(np.linalg.norm(value), 1e-12)))
+    return out
+
+
+def _by_items(asked: list[tuple[np.ndarray, np.ndarray]], thin: np.ndarray) -> np.ndarray:
+    return np.stack([value @ thin[word] for word, value in asked])
 
 
-def _thin_product(text: DataFrame, vocab: Vocabulary, idf: np.ndarray, tasks: int) -> tuple[float, Callable]:
-    """The same where the Gram matrix is too large to hold: the passages are stored and read once a product."""
+def _by_words(asked: list[tuple[np.ndarray, np.ndarray]], image: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, image.shape[1]))
+    for (word, value), row in zip(asked, image, strict=True):
+        out[word] += value[:, None] * row
+    return out
+
+
+def _axes(asked: list[tuple[np.ndarray, np.ndarray]], passages: float, times: Callable, n: int) -> np.ndarray:
+    """The latent directions, where ``times`` multiplies a thin matrix by the passages' Gram matrix."""
+    thin = np.linalg.qr(np.random.default_rng(5).normal(size=(n, min(n, RANK + SPARE))))[0]
+    heavy = OWN * passages / len(asked) + 1
+    for _ in range(2):
+        image = heavy * _by_words(asked, _by_items(asked, thin), n) + times(thin)
+        inner = thin.T @ image
+        thin_before, thin = thin, np.linalg.qr(image)[0]
+    _, turn = np.linalg.eigh((inner + inner.T) / 2)
+    return (thin_before @ turn[:, ::-1])[:, :RANK]
+
+
+def _axes_of_gram(text: DataFrame, vocab: Vocabulary, idf: np.ndarray, tasks: int, asked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The axes where the Gram matrix is added up in one pass: the last task finds them, and only they go to the driver."""
+    n, some = len(vocab), max(8, tasks // 4)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = _sum(batches, np.float32)
+        half = np.zeros(n * (n + 1) // 2 + 1, np.float32) if half is None else half
+        gram, passages = _full(half[:-1], n), float(half[-1])
+        del half
+        yield _value(_axes(asked, passages, lambda thin: gram @ thin.astype(np.float32), n))
+
+    found = _tree(text.coalesce(some).mapInArrow(_gram(vocab, idf), "value binary"), _adding(np.float32), some, last).collect()
+    return np.frombuffer(found[0][0]).reshape(n, -1)
+
+
+def _axes_of_passes(text: DataFrame, vocab: Vocabulary, idf: np.ndarray, tasks: int, asked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The axes where the Gram matrix is too large to hold: the passages are stored and read once a product."""
     rows = stored(text.mapInArrow(_sparse(vocab, idf), "n long, row binary, word binary, value binary"))
     some = max(8, tasks // 16)
 
@@ -295,17 +341,18 @@ def _thin_product(text: DataFrame, vocab: Vocabulary, idf: np.ndarray, tasks: in
         total = _tree(found, _adding(np.float32), some).collect()
         return np.frombuffer(total[0][0], np.float32).reshape(thin.shape) if total else np.zeros_like(thin)
 
-    return rows.agg(F.sum("n")).head()[0] or 0, times
+    return _axes(asked, rows.agg(F.sum("n")).head()[0] or 0, times, len(vocab))
 
 
 def fit(docs: DataFrame, items: list[Item]) -> Model | None:
     """Latent space of the corpus's passages over the words of ``items``; None if the corpus holds none of them.
 
     Word frequencies are counted over all passages.  The randomised SVD starts from random directions,
-    multiplies them twice by the Gram matrix of all passages, and the driver finds the axes within that
-    span.  Up to ``GRAM`` words each task adds up its passages' Gram matrix, once for both products;
+    multiplies them twice by the Gram matrix of all passages, and finds the axes within that
+    span.  Up to ``GRAM`` words each task adds up its passages' Gram matrix, once for both products, and
+    the last task of the sum finds the axes, so that the driver holds no Gram matrix;
     beyond, each product is a pass in which a task adds up a thin matrix (words of the items by
-    directions).  Either is summed over two levels of tasks.  The items' own passages weigh ``OWN``
+    directions) and the driver finds the axes.  Either is summed over two levels of tasks.  The items' own passages weigh ``OWN``
     times the corpus, so that the axes cover them.
     """
     vocab = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
@@ -322,26 +369,16 @@ def fit(docs: DataFrame, items: list[Item]) -> Model | None:
     idf = np.array([np.log((seen[-1] + 2) / (seen[vocab[w]] + 1)) for w in sorted(kept)])
     vocab = {w: i for i, w in enumerate(sorted(kept))}
 
-    at = [(i, vocab[w]) for i, x in enumerate(items) for w in x.words if w in vocab]
-    asked = np.zeros((len(items), len(vocab)))
-    np.add.at(asked, tuple(np.array(at, np.int64).T), 1)
-    asked = np.where(asked > 0, 1 + np.log(np.maximum(asked, 1)), 0) * idf
-    asked /= np.maximum(np.linalg.norm(asked, axis=1), 1e-12)[:, None]
-
-    rank = min(len(vocab), RANK + SPARE)
-    thin = np.linalg.qr(np.random.default_rng(5).normal(size=(len(vocab), rank)))[0]
-    passages, times = (_gram_product if len(vocab) <= GRAM else _thin_product)(text, Vocabulary(list(vocab)), idf, tasks)
-    heavy = OWN * passages / len(items) + 1
-    for _ in range(2):
-        image = heavy * asked.T @ (asked @ thin) + times(thin)
-        inner = thin.T @ image
-        thin_before, thin = thin, np.linalg.qr(image)[0]
-    _, turn = np.linalg.eigh((inner + inner.T) / 2)
-    axes = (thin_before @ turn[:, ::-1])[:, :RANK]
-    latent = asked @ axes
+    asked = _weighed(items, vocab, idf)
+    words = Vocabulary(list(vocab))
+    axes = (_axes_of_gram if len(vocab) <= GRAM else _axes_of_passes)(text, words, idf, tasks, asked)
+    latent = _by_items(asked, axes)
     rest = np.sqrt(np.maximum(0, 1 - (latent**2).sum(axis=1)))
-    weights = [{int(w): float(x[w]) for w in np.flatnonzero(x)} for x in asked]
-    return Model(Vocabulary(list(vocab)), idf, axes.astype(np.float32), items, weights, latent.astype(np.float32), rest.astype(np.float32), asked.max(axis=0))
+    most = np.zeros(len(vocab))
+    for word, value in asked:
+        most[word] = np.maximum(most[word], value)
+    weights = [dict(zip(word.tolist(), value.tolist(), strict=True)) for word, value in asked]
+    return Model(words, idf, axes.astype(np.float32), items, weights, latent.astype(np.float32), rest.astype(np.float32), most)
 
 
 def _latent(axes: np.ndarray, begins: np.ndarray, counts: np.ndarray, word: np.ndarray, value: np.ndarray) -> np.ndarray:

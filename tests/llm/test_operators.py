@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -220,6 +221,21 @@ def test_passages_gram_and_latent_parts():
     assert np.allclose(got, dense @ axes, atol=1e-4)
 
 
+def test_gram_matrix_stays_out_of_the_driver(spark):
+    """Only the axes are sent to the driver, whatever the number of words."""
+    words = [f"w{i}" for i in range(3000)]
+    items = decontamination.items_of(1, " ".join(words))
+    docs = _docs(spark, [(i, " ".join(words[i : i + 900]), "a") for i in range(0, 2400, 300)])
+    tracemalloc.start()
+    try:
+        model = decontamination.fit(docs, items)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.axes.shape == (3000, decontamination.RANK)
+    assert most < 4 * 3000**2
+
+
 def test_decontamination_with_more_words_than_a_gram_matrix(spark, monkeypatch):
     """Passes over stored passages find what one Gram matrix finds."""
     rnd = random.Random(12)
