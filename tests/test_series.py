@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from barlens.functions import series
 from barlens.operators import earlier, indicators, labels, structure, summaries, swing
+from barlens.params import Params
+from barlens.plans import flows
 from helpers import column, walk
 
 STEPS = {
@@ -74,6 +76,37 @@ def test_indicators_are_dealt_and_sorted_once(spark):
     assert "Window" not in plan and plan.count("Sort [") == 1 and plan.count("Repartition") == 1
 
 
+def test_statistics_slide_no_window_and_indicators_use_the_order_there_is(spark):
+    """1,848 to 2,568 s were projected for 6 GB: window steps of the statistics, a second deal of sorted bars."""
+    bars, bench = walk(spark, 90), walk(spark, 90, seed=5, ticker="MKT")
+    plan = flows.statistics(bars, bench, Params(benchmark="MKT"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(RowFrame, -" not in plan and "lag(" not in plan and "lead(" not in plan and "Sort [" not in plan
+    assert plan.count("row_number()") == 1
+    plan = flows.indicator_frame(bars, bench, Params(benchmark="MKT"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "Sort [" not in plan and plan.count("row_number()") == 1
+
+
+def test_peaks_and_starts(spark):
+    """Equal peaks, unknown prices first and between, two tickers in one batch."""
+    rows = [("A", 1, None, 2.0), ("A", 2, 5.0, None), ("A", 3, 4.0, 3.0), ("A", 4, 5.0, 4.0), ("A", 5, 6.0, None), ("A", 6, None, 1.0)]
+    rows += [("B", 1, 1.0, 1.0), ("B", 2, 0.0, 2.0), ("B", 3, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "ticker string, d int, price double, b double")
+    df = df.withColumn("date", F.date_from_unix_date("d")).withColumn("_day", F.col("d").cast("double"))
+    steps = {
+        "top": series.peak("price"), "day": series.at_peak("_day", "price"), "start": series.at_first("b", "price"),
+        "begun": series.at_first("price", "b"), "g": series.growth("price"), "next": series.growth("price", -1), "g2": series.lag("g"),
+    }
+    out = series.over_sessions(series.numbered(df.coalesce(1)), steps).orderBy("ticker", "date")
+    assert "_place" not in out.columns
+    got = [tuple(r) for r in out.select(*steps).collect()]
+    assert got == [
+        (None, 1.0, None, None, None, None, None), (5.0, 2.0, None, None, None, -0.19999999999999996, None),
+        (5.0, 2.0, 3.0, 4.0, -0.19999999999999996, 0.25, None), (5.0, 2.0, 3.0, 4.0, 0.25, 0.19999999999999996, -0.19999999999999996),
+        (6.0, 5.0, 3.0, 4.0, 0.19999999999999996, None, 0.25), (6.0, 5.0, 3.0, 4.0, None, None, 0.19999999999999996),
+        (1.0, 1.0, 1.0, 1.0, None, -1.0, None), (1.0, 1.0, 1.0, 1.0, -1.0, None, None), (2.0, 3.0, 1.0, 1.0, None, None, -1.0),
+    ]
+
+
 def test_functions_travel_with_the_query(tmp_path):
     """Executors do not have the package."""
     (tmp_path / "f").write_bytes(cloudpickle.dumps(series.ema("close", 9)))
