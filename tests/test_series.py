@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import subprocess
 import sys
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from barlens.functions import series
 from barlens.operators import earlier, indicators, labels, structure, summaries, swing
 from barlens.params import Params
 from barlens.plans import flows
-from helpers import column, walk
+from helpers import column, walk, weekdays
 
 STEPS = {
     "was": series.lag("v", 2),
@@ -132,3 +135,24 @@ def test_labels_read_the_series_of_earlier_sessions(spark):
     assert quick.orderBy(key).collect() == apart.orderBy(key).collect()
     last = earlier.without(labelled(together.where("_sessions_left = 0")))
     assert last.orderBy(key).collect() == summaries.last_row(quick).orderBy(key).collect()
+
+
+def test_slopes_that_tie_with_a_threshold_are_rounded_as_the_sql_does(spark):
+    """Many slopes are 0.1 of the mean volume in exact arithmetic; the reading takes SQL's side of each."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    volume, obv = np.full(n, 20.0), 7919.0 + np.cumsum(rng.integers(-30, 31, n))
+    start = weekdays(1)[0]
+    rows = [("A", start + dt.timedelta(days=i), float(o), float(v)) for i, (o, v) in enumerate(zip(obv, volume))]
+    df = spark.createDataFrame(rows, "ticker string, date date, obv double, volume double")
+    steps = {"slope": series.slope("obv", 10), "size": series.upto(series.mean, "volume", 10)}
+    out = series.over_sessions(series.in_order(df), steps).withColumn("obv_slope10", F.col("slope") / F.col("size"))
+    move = (-F.signum("obv_slope10")).alias("ta_return_5d")
+    held = out.select("date", "obv_slope10", move, F.lit(1.5).alias("move_5d_atr")).where("obv_slope10 is not null")
+    got = dict(held.select("date", swing.obv_divergence(slack=0)).collect())
+    frame = pd.DataFrame({"pos": np.arange(1, n + 1), "obv": obv, "volume": volume})  # noqa: F841 - DuckDB reads it
+    w = "(ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+    want = duckdb.sql(f"SELECT pos, abs(regr_slope(obv, pos) OVER {w} / avg(volume) OVER {w}) AS s FROM frame QUALIFY count(*) OVER {w} = 10").fetchall()
+    ties = [s for _, s in want if abs(s - 0.1) < 1e-12]
+    assert len(ties) > 15 and {s >= 0.1 for s in ties} == {True, False}
+    assert got == {start + dt.timedelta(days=p - 1): s >= 0.1 for p, s in want}
