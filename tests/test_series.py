@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import io
 import os
+import re
 import subprocess
 import sys
 
@@ -156,3 +159,66 @@ def test_slopes_that_tie_with_a_threshold_are_rounded_as_the_sql_does(spark):
     ties = [s for _, s in want if abs(s - 0.1) < 1e-12]
     assert len(ties) > 15 and {s >= 0.1 for s in ties} == {True, False}
     assert got == {start + dt.timedelta(days=p - 1): s >= 0.1 for p, s in want}
+
+
+def test_only_what_a_query_rests_on_is_computed(spark):
+    """1,200 s were not enough for 6 GB: every query took all series and carried 130 columns."""
+    bars, bench = walk(spark, 90), walk(spark, 90, seed=5, ticker="MKT")
+    params = Params(benchmark="MKT")
+    plan = flows.taken(bars, bench, params, "rsi_zone")._jdf.queryExecution().optimizedPlan().toString()
+    passes = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert len(passes) == 2 and all(line.split("run(")[1].split(")")[0].count("#") < 5 for line in passes)
+    assert "ema9" not in plan
+    wanted = ["rsi_zone", "band_state", "macd_details", "structure", "swing_condition", "fwd_abnormal_7d", "mfe_3d", "obv_slope10", "high60"]
+    whole = flows.technical(bars, bench, params, with_outcomes=True, changes=True)
+    whole = whole.withColumn("macd_details", swing.macd_event_details()).select("ticker", "date", *wanted).orderBy("date").collect()
+    assert flows.taken(bars, bench, params, *wanted).select("ticker", "date", *wanted).orderBy("date").collect() == whole
+    for c in wanted:
+        one = flows.taken(bars, bench, params, c).orderBy("date").collect()
+        assert [r[c] for r in one] == [r[c] for r in whole], c
+
+
+def test_chart_and_levels_deal_the_recent_sessions_only(spark):
+    """Windows over all sessions dealt and sorted them again, three times for the chart's limits."""
+    frame = flows.taken(walk(spark, 200), None, Params(), *swing.CHART_SERIES, *structure.level_columns())
+    for made in (swing.chart_window(frame), structure.level_candidates(frame)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("row_number()") == 1 and "Sort [" not in plan and "Repartition" not in plan
+        above = plan.split("MapInArrow")[0]
+        assert "Window" not in above and "_sessions_left" in above
+
+
+def test_context_leaves_its_task_as_one_row_a_ticker(spark):
+    """Against loops over the sessions; the generated methods are short enough for Java to compile."""
+    bars = walk(spark, 300).unionByName(walk(spark, 150, seed=8, ticker="U"))
+    rows = flows.context_of(bars, None)
+    technical = flows.technical(bars, None, with_outcomes=True)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, flows.context(technical).collect()))
+    for ticker in "TU":
+        days = technical.where(F.col("ticker") == ticker).orderBy("date").collect()
+        today = days[-1]
+        alike = {
+            1: [today.structure in d.states for d in days],
+            2: [(d.trend, d.rsi_zone) == (today.trend, today.rsi_zone) for d in days],
+            3: [True] * len(days),
+        }
+        got = {(r.group_no, r.horizon): r for r in rows.where(F.col("ticker") == ticker).collect()}
+        for k, like in alike.items():
+            used = [a and d.fwd_return_7d is not None for a, d in zip(like, days)]
+            x = np.array([d.fwd_return_3d for d, u in zip(days, used) if u])
+            mae = np.array([d.mae_3d for d, u in zip(days, used) if u])
+            r = got[k, 3]
+            assert (r.n, r.episodes) == (sum(used), sum(u and not (i and used[i - 1]) for i, u in enumerate(used)))
+            if r.n:
+                want = (x.mean(), np.median(x), (x > 0).mean(), np.median(mae))
+                np.testing.assert_allclose((r.avg, r.median, r.pct_positive, r.mae_median), want, rtol=1e-12)
+    plan = flows.context_of(bars, bars, Params(benchmark="T"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            plan.explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())]
+    assert sizes and max(sizes) < 8000
