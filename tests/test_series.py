@@ -21,6 +21,7 @@ from barlens.functions import series
 from barlens.operators import earlier, indicators, labels, structure, summaries, swing
 from barlens.params import Params
 from barlens.plans import flows
+from barlens.sources import derived
 from helpers import column, walk, weekdays
 
 STEPS = {
@@ -222,3 +223,17 @@ def test_context_leaves_its_task_as_one_row_a_ticker(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())]
     assert sizes and max(sizes) < 8000
+
+
+def test_bars_are_scanned_once_and_dealt_twice(spark):
+    """The benchmark's copy of every day sum was dealt out once more with all the tickers' own."""
+    made = derived.bars(spark, "/root/testdata/sf0.001")
+    rows = made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1 and "Generate" not in plan
+    days = {r.date for r in rows if r.ticker == derived.BENCHMARK}
+    assert days == {r.date for r in rows if r.date.day != 13}
+    total = {r.date: 0.0 for r in rows}
+    for r in rows:
+        total[r.date] += r.volume if r.ticker != derived.BENCHMARK else 0
+    assert {r.date: r.volume for r in rows if r.ticker == derived.BENCHMARK} == {d: total[d] for d in days}
